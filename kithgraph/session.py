@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,20 @@ def _checkpoint_dir(spark: SparkSession) -> None:
 def tasks(spark: SparkSession, rows: int, per_task: int) -> int:
     """Number of tasks so that each gets about ``per_task`` rows, and no fewer than the session's shuffle partitions when there is enough to share out."""
     return max(1, min(-(-rows // max(1, per_task)), 100_000))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application; needed where they don't have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    whole = Path(tempfile.mkdtemp(prefix="kithgraph-")) / "kithgraph.zip"
+    with zipfile.ZipFile(whole, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(str(whole))
+    _shipped.add(context.applicationId)
