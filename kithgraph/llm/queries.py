@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithgraph.functions.text import trimmed
-from kithgraph.llm import cooccur, distinctive, leaks, survivors, tokens
+from kithgraph.llm import canonical, cooccur, distinctive, leaks, survivors, tokens
 from kithgraph.llm.sql import SQL  # noqa: F401
 from kithgraph.operators.current import current_values
 from kithgraph.sources.tables import table
@@ -32,6 +32,14 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumns({c: F.round(c, 6) for c in ("lift", "odds_ratio")})
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of the reference lists that locations and companies mean."""
+    rows = table(spark, d, "account")
+    places = canonical.match(rows, "line_no", "location", table(spark, d, "ref_place"), "place_id", "name", canonical.PLACES, qualifiers=("country", "country_code"))
+    firms = canonical.match(rows, "line_no", "company", table(spark, d, "ref_company"), "company_id", "name", canonical.COMPANIES, alias="abbrev")
+    return places.select("line_no", F.lit("location").alias("field"), "ref_id").unionAll(firms.select("line_no", F.lit("company").alias("field"), "ref_id"))
+
+
 def _descriptions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "repository")
     now = current_values(rows, F.col("id"), {"description": F.col("description")}, F.col("updated_at"), F.col("item") == "Repository", F.col("line_no"))
@@ -102,4 +110,4 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).withColumnRenamed("item_id", "eval_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p6_found, p6_bm25, p7_found, p7_fused, p8_ids, p8_decoded, p9_found, p9_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p6_found, p6_bm25, p7_found, p7_fused, p8_ids, p8_decoded, p9_found, p9_spans)}
