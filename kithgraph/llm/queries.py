@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithgraph.functions.text import trimmed
-from kithgraph.llm import canonical, cooccur, distinctive, leaks, survivors, tokens
+from kithgraph.llm import canonical, cooccur, distinctive, leaks, mojibake, survivors, tokens
 from kithgraph.llm.sql import SQL  # noqa: F401
 from kithgraph.operators.current import current_values
 from kithgraph.sources.tables import table
@@ -110,4 +110,14 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).withColumnRenamed("item_id", "eval_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p6_found, p6_bm25, p7_found, p7_fused, p8_ids, p8_decoded, p9_found, p9_spans)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with text that was decoded with the wrong encoding."""
+    return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents as restored."""
+    return mojibake.restored(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p6_found, p6_bm25, p7_found, p7_fused, p8_ids, p8_decoded, p9_found, p9_spans, p10_found, p10_restored)}
