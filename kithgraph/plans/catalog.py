@@ -1,7 +1,7 @@
 """All queries of the core."""
 
-from kithgraph.plans import problems, problems_sql
+from kithgraph.plans import graphs, graphs_sql, problems, problems_sql
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems_sql.SQL}
+QUERIES = {**problems.QUERIES, **graphs.QUERIES}
+SQL = {**problems_sql.SQL, **graphs_sql.SQL}
 FLAGSHIP = "p2_found"
