@@ -1,7 +1,7 @@
 """All queries of the core."""
 
-from kithgraph.plans import graphs, graphs_sql, problems, problems_sql
+from kithgraph.plans import graphs, graphs_sql, problems, problems_sql, recommenders, recommenders_sql
 
-QUERIES = {**problems.QUERIES, **graphs.QUERIES}
-SQL = {**problems_sql.SQL, **graphs_sql.SQL}
-FLAGSHIP = "p2_found"
+QUERIES = {**problems.QUERIES, **graphs.QUERIES, **recommenders.QUERIES}
+SQL = {**problems_sql.SQL, **graphs_sql.SQL, **recommenders_sql.SQL}
+FLAGSHIP = "metric_report"
