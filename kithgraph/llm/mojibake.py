@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithgraph.session import cut
+from kithgraph.session import cut, tasks
 
 #: Encodings in which UTF-8 may have been read.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8_r", "iso8859_2", "iso8859_15")
@@ -29,6 +29,9 @@ REPLACED = 5.0
 #: Most readings of one token through one channel that are carried on (a beam; those with the likeliest characters stay).
 BEAM = 16
 
+#: Distinct tokens that one task reads through all channels.
+TASK_TOKENS = 2_000
+
 #: Runs of letters, other characters than ASCII and character references.
 TOKEN = r"(?:[A-Za-z]|[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5});)+"
 _ODD = r"[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5});"
@@ -195,7 +198,7 @@ def suspects(docs: DataFrame, text: str) -> DataFrame:
             types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["token", "n", "channel", "reading", "chars"])
 
-    proposed = counts.mapInArrow(propose, "token string, n bigint, channel string, reading string, chars double")
+    proposed = counts.repartition(tasks(spark, counts.count(), TASK_TOKENS)).mapInArrow(propose, "token string, n bigint, channel string, reading string, chars double")
     seen = counts.select(F.col("token").alias("reading"), F.col("n").alias("n_reading"))
     weighed = proposed.join(seen, "reading", "left").withColumn("n_reading", F.coalesce("n_reading", F.lit(0)))
     words = F.log((F.col("n_reading") + 1.0) / (F.col("n") + 1.0))
