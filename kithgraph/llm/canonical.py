@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions.text import has_text
 from kithgraph.operators.skew import lookup_join
-from kithgraph.session import cut
+from kithgraph.session import cut, tasks
 
 #: Entries of the reference list in one symmetric-delete dictionary (about 200 keys each); longer lists take several.
 ENTRIES = 20_000
 #: Cost of an edit: swapping neighbours and doubling or dropping a doubled letter are the likeliest slips.
 SWAP, DOUBLE, EDIT = 0.9, 0.9, 1.0
 MISS = -1
+#: Distinct values that one task parses, or keys that it looks up.
+TASK_VALUES = 1_000
 
 
 @dataclass(frozen=True)
@@ -200,8 +202,10 @@ def match(df: DataFrame, key: str, value: str, reference: DataFrame, ref_id: str
             pairs = [split(v, rules, known) for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["value", "n", "k", "q"])
 
-    parsed = cut(counts.mapInArrow(parse, "value string, n bigint, k string, q string"))
+    counts = cut(counts)
+    parsed = cut(counts.repartition(tasks(spark, counts.count(), 10 * TASK_VALUES)).mapInArrow(parse, "value string, n bigint, k string, q string"))
     asked = cut(parsed.select("k", "q").distinct())
+    asked = cut(asked.repartition(tasks(spark, asked.count(), TASK_VALUES)))
     found = None
     for p in range(parts):
         own = [tuple(r) for r in entries.where(F.pmod(F.xxhash64("ref"), F.lit(parts)) == p).distinct().collect()]
