@@ -15,55 +15,55 @@ from kithgraph.session import cut, tasks
 #: Most links that one task takes up at a level of the merge (about 100 bytes each while it runs).
 TASK_LINKS = 1_000_000
 
-_SOLVED = "node bigint, up bigint, dist bigint, state int"
-#: Fixed values of ``state``: the walk goes on outside this task; it ended in a circle, whose least id is ``up``.
+_LINKS = "node bigint, up bigint, dist bigint, low bigint"
+_FOUND = f"{_LINKS}, state int"
+#: Fixed values of ``state``: the walk goes on outside this task or has ended; it goes round in a circle, whose least id is ``up``.
 OPEN, CIRCLE = 0, 1
 
 
-def jump(node: np.ndarray, up: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def jump(node: np.ndarray, up: np.ndarray, dist: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weighted disjoint sets of one task's links, all paths compressed at once.
 
-    ``node`` is sorted and unique; node[i] lies ``dist[i]`` steps below up[i]. Returns for each node the last id reached
-    through these links, the steps to it, and its state; for a walk into a circle, the circle's least id.
+    ``node`` is sorted and unique; node[i] lies ``dist[i]`` steps below up[i], and ``low[i]`` is the least id on that stretch, up[i] excluded. Returns for each node the last id reached
+    through these links, the steps to it, the least id on the way, and its state; for a walk into a circle, the circle's least id.
     """
     n = len(node)
     if not n:
-        return up, dist, np.zeros(0, np.int32)
+        return up, dist, low, np.zeros(0, np.int32)
     at = np.searchsorted(node, up)
     at[at == n] = 0
     first = nxt = np.where(node[at] == up, at, -1)
-    root, weight = up.copy(), dist.copy()
+    root, weight, least = up.copy(), dist.copy(), low.copy()
     for _ in range(int(n).bit_length() + 1):
         inner = nxt >= 0
         if not inner.any():
             break
         to = nxt[inner]
-        root[inner], step, nxt2 = root[to], weight[to], nxt[to]
+        step, seen, ahead = weight[to], least[to], nxt[to]
+        root[inner] = root[to]
         weight[inner] += step
+        least[inner] = np.minimum(least[inner], seen)
         nxt = nxt.copy()
-        nxt[inner] = nxt2
-    state = np.where(nxt >= 0, CIRCLE, OPEN).astype(np.int32)
-    if (nxt >= 0).any():
-        circle = np.unique(nxt[nxt >= 0])  # after so many steps a walk stands on its circle, and every place of it is stood on
+        nxt[inner] = ahead
+    caught = nxt >= 0
+    if caught.any():
+        circle = np.unique(nxt[caught])  # after so many steps a walk stands on its circle, and every place of it is stood on
         place = np.searchsorted(circle, first[circle])
-        least = node[circle].copy()
+        lowest = low[circle].copy()
         for _ in range(int(len(circle)).bit_length() + 1):
-            least, place = np.minimum(least, least[place]), place[place]
-        caught = nxt >= 0
-        root[caught] = least[np.searchsorted(circle, nxt[caught])]
+            lowest, place = np.minimum(lowest, lowest[place]), place[place]
+        root[caught] = least[caught] = lowest[np.searchsorted(circle, nxt[caught])]
         weight[caught] = -1
-    return root, weight, state
+    return root, weight, least, np.where(caught, CIRCLE, OPEN).astype(np.int32)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's links (those with a null ``up`` only ask for their node) to what each node leads to; nodes that neither link nor are known give no row."""
-    own = [b.filter(b.column(1).is_valid()) for b in batches]
-    table = pa.table({c: pa.chunked_array([b.column(i) for b in own], pa.int64()) for i, c in enumerate(("node", "up", "dist"))})
-    node, up, dist = (table[c].to_numpy() for c in ("node", "up", "dist"))
-    order = np.argsort(node, kind="stable")
-    node, up, dist = node[order], up[order], dist[order]
-    root, weight, state = jump(node, up, dist)
-    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(weight), pa.array(state)], ["node", "up", "dist", "state"])
+    """One task's links to what each node leads to."""
+    own = list(batches)
+    columns = [pa.chunked_array([b.column(i) for b in own], pa.int64()).to_numpy() for i in range(4)]
+    order = np.argsort(columns[0], kind="stable")
+    node, up, dist, low = (c[order] for c in columns)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, *jump(node, up, dist, low))], ["node", "up", "dist", "low", "state"])
 
 
 def resolve(links: DataFrame, node: str = "node", parent: str = "parent", task_links: int = TASK_LINKS) -> DataFrame:
@@ -95,41 +95,38 @@ def resolve(links: DataFrame, node: str = "node", parent: str = "parent", task_l
 
 
 def _solve(inner: DataFrame, task_links: int) -> DataFrame:
-    spark = inner.sparkSession
-    links = inner.select("node", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("dist"))
+    """``node``, ``up`` (root or least id of the circle), ``dist``, ``state`` of each of ``inner``'s nodes. ``solved`` are those whose walk is over; they still answer for others."""
+    links = inner.select("node", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("dist"), F.col("node").alias("low"))
     total = links.count()
-    live, n, done, reach = links, total, [], 1
+    if total <= task_links:
+        return cut(links.repartition(1).mapInArrow(_merge, _FOUND).drop("low"))
+    solved = links.where("false").withColumn("state", F.lit(OPEN))
+    live, n, reach = links, total, 1
     while n > task_links and reach < 2 * total:
-        width = tasks(spark, 2 * n, task_links)
-        asked = live.select(F.col("up").alias("node"), F.lit(None).cast("bigint").alias("up"), F.lit(None).cast("bigint").alias("dist")).distinct()
-        found = live.unionByName(asked).repartition(width, "node").mapInArrow(_merge, _SOLVED)
-        found = found.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("dist").alias("__dist"), F.col("state").alias("__state"))
-        step = cut(lookup_join(live, found, "up", "left"))
-        done.append(step.where(F.col("__up").isNull()).select("node", "up", "dist", F.lit(OPEN).alias("state")))
-        done.append(step.where(F.col("__state") == CIRCLE).select("node", F.col("__up").alias("up"), F.lit(-1).cast("bigint").alias("dist"), F.lit(CIRCLE).alias("state")))
-        live = cut(step.where(F.col("__state") == OPEN).select("node", F.col("__up").alias("up"), (F.col("dist") + F.col("__dist")).alias("dist")))
+        asked = live.select(F.col("up").alias("node")).distinct()
+        known = live.unionByName(solved.drop("state")).join(asked, "node", "left_semi")
+        found = known.repartition(tasks(inner.sparkSession, n, task_links), "node").mapInArrow(_merge, _FOUND)
+        answers = found.select(F.col("node").alias("up"), *[F.col(c).alias(f"__{c}") for c in ("up", "dist", "low", "state")])
+        step = cut(lookup_join(live, answers, "up", "left"))
+        ended = step.where(F.col("__up").isNull()).select("node", "up", "dist", "low", F.lit(OPEN).alias("state"))
+        round_trip = step.where(F.col("__state") == CIRCLE).select("node", F.col("__up").alias("up"), F.lit(-1).cast("bigint").alias("dist"), F.col("__up").alias("low"), F.lit(CIRCLE).alias("state"))
+        onward = step.where(F.col("__state") == OPEN).select("node", F.col("__up").alias("up"), (F.col("dist") + F.col("__dist")).alias("dist"), F.least("low", "__low").alias("low"))
+        solved, live = cut(solved.unionByName(ended).unionByName(round_trip)), cut(onward)
         n, reach = live.count(), 2 * reach
     if n > task_links:
-        done.append(_circles(live, links))
-    elif n:
-        done.append(live.repartition(1).mapInArrow(_merge, _SOLVED))
-    if not done:
-        return spark.createDataFrame([], _SOLVED)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return cut(out)
-
-
-def _circles(live: DataFrame, links: DataFrame) -> DataFrame:
-    """Walks of more steps than there are nodes: each stands on a circle, and every place of a circle is stood on. The least id comes by doubling."""
-    on = live.select(F.col("up").alias("node")).distinct()
-    ring = cut(links.join(on, "node", "left_semi").select("node", F.col("up").alias("to"), F.least("node", "up").alias("least")))
-    for _ in range(max(1, ring.count()).bit_length() + 1):
-        ahead = ring.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("least").alias("__least"))
-        ring = cut(ring.join(ahead, "to").select("node", F.col("__to").alias("to"), F.least("least", "__least").alias("least")))
-    least = ring.select(F.col("node").alias("up"), F.col("least").alias("__least"))
-    return lookup_join(live, least, "up").select("node", F.col("__least").alias("up"), F.lit(-1).cast("bigint").alias("dist"), F.lit(CIRCLE).alias("state"))
+        return cut(solved.drop("low").unionByName(_circles(live, solved)))
+    if n:
+        asked = live.select(F.col("up").alias("node")).distinct()
+        helpers = solved.join(asked, "node", "left_semi").drop("state")
+        last = live.unionByName(helpers).repartition(1).mapInArrow(_merge, _FOUND)
+        solved = solved.unionByName(last.join(live.select("node"), "node", "left_semi"))
+    return cut(solved.drop("low"))
+
+
+def _circles(live: DataFrame, solved: DataFrame) -> DataFrame:
+    """Walks of more steps than there are nodes stand on a circle, at a place whose own walk is as long or known to go round: the least id on that is the circle's."""
+    places = live.select(F.col("node").alias("up"), F.col("low").alias("__low")).unionByName(solved.where(F.col("state") == CIRCLE).select(F.col("node").alias("up"), F.col("low").alias("__low")))
+    return lookup_join(live, places, "up").select("node", F.col("__low").alias("up"), F.lit(-1).cast("bigint").alias("dist"), F.lit(CIRCLE).alias("state"))
 
 
 def paths(forest: DataFrame) -> DataFrame:

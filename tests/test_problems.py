@@ -102,7 +102,7 @@ def test_paths_and_descendants(spark, rows):
 
 def test_jump_on_nothing():
     empty = np.zeros(0, np.int64)
-    assert len(forest.jump(empty, empty, empty)[0]) == 0
+    assert len(forest.jump(empty, empty, empty, empty)[0]) == 0
 
 
 JSONS = [
