@@ -22,6 +22,8 @@ ENTRIES = 20_000
 #: Cost of an edit: swapping neighbours and doubling or dropping a doubled letter are the likeliest slips.
 SWAP, DOUBLE, EDIT = 0.9, 0.9, 1.0
 MISS = -1
+#: Most distinct qualifiers of a list (they are gathered as one set).
+QUALIFIERS = 200_000
 #: Distinct values that one task parses, or keys that it looks up.
 TASK_VALUES = 1_000
 
@@ -181,9 +183,9 @@ def match(df: DataFrame, key: str, value: str, reference: DataFrame, ref_id: str
 
     A value is reduced to a key (case, marks, punctuation, spaces and the phrases of ``rules`` don't count) and, if one
     of the list's qualifiers (such as the country) stands beside it, that. Entries whose name's key is within two edits (one for keys
-    under 6 characters, none under 4), or whose alias is the key, are candidates; those that the qualifier agrees with come first, then the
-    least weighted distance, then the entry named more often in these very values (with its qualifier where names
-    are equal), then the least id. If there is no candidate, or none agrees with the qualifier, the result is -1. Rows repeat as they come; entries with a null id or name are left out; an empty list gives -1 everywhere.
+    under 6 characters, none under 4), or whose alias is the key, are candidates, if the qualifier is one of theirs. Of them counts the
+    least weighted distance, then the name that occurs more often in these very values, then the entry whose qualifiers stand beside that name
+    more often, then the least id. If there is no candidate, or none agrees with the qualifier, the result is -1. Rows repeat as they come; entries with a null id or name are left out; an empty list gives -1 everywhere.
 
     Values are first reduced to the distinct ones, each is matched once, and the result joined back, common values by broadcast. The list is
     broadcast in parts of ENTRIES entries with their delete dictionaries, and the best over all parts counts.
@@ -194,7 +196,10 @@ def match(df: DataFrame, key: str, value: str, reference: DataFrame, ref_id: str
     entries = reference.where(F.col(ref_id).isNotNull() & F.col(name).isNotNull()).select(
         F.col(ref_id).cast("bigint").alias("ref"), F.col(name).alias("name"), (F.col(alias) if alias else F.lit(None)).cast("string").alias("alias"), F.array(*[F.col(q) for q in qualifiers]).cast("array<string>").alias("q")
     )
-    known = frozenset(normal(r[0]) for r in entries.select(F.explode("q").alias("x")).where("x is not null").distinct().limit(ENTRIES).collect()) - {""}
+    beside = entries.select(F.explode("q").alias("x")).where("x is not null").distinct().limit(QUALIFIERS + 1).collect()
+    if len(beside) > QUALIFIERS:
+        raise ValueError(f"more than {QUALIFIERS} qualifiers")
+    known = frozenset(normal(r[0]) for r in beside) - {""}
     parts = max(1, -(-entries.count() // ENTRIES))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +218,9 @@ def match(df: DataFrame, key: str, value: str, reference: DataFrame, ref_id: str
         exact = spark.createDataFrame([(k,) for k in {*index.names, *index.alias}], "k string")
         used = {(r.k, r.q): r.n for r in parsed.join(F.broadcast(exact), "k").groupBy("k", "q").agg(F.sum("n").alias("n")).collect()}
         sent, call = spark.sparkContext.broadcast((own, used)), uuid.uuid4().hex
-        hits = asked.mapInArrow(_matcher(sent, call, rules), "k string, q string, odd int, weight double, less bigint, ref bigint")
+        hits = asked.mapInArrow(_matcher(sent, call, rules), "k string, q string, weight double, less bigint, less_own bigint, ref bigint")
         found = hits if found is None else found.unionAll(hits)
-    best = found.groupBy("k", "q").agg(F.min(F.struct("odd", "weight", "less", "ref")).alias("m")).select("k", "q", F.col("m.ref").alias("ref"))
+    best = found.groupBy("k", "q").agg(F.min(F.struct("weight", "less", "less_own", "ref")).alias("m")).select("k", "q", F.col("m.ref").alias("ref"))
     matched = parsed.join(best, ["k", "q"], "left").select("value", F.coalesce("ref", F.lit(MISS)).cast("bigint").alias("ref_id"))
     return lookup_join(rows, cut(matched), "value").select(F.col("__key").alias(key), "ref_id")
 
@@ -234,10 +239,10 @@ def _matcher(sent, call: str, rules: Rules):
                     for ref in refs:
                         if q and index.own[ref] and q not in index.own[ref]:
                             continue
-                        times = sum(used.get((near, x), 0) for x in index.own[ref]) if len(refs) > 1 else total[near]
-                        out.append((k, q, 0 if q else 1, weight, -times, ref))
+                        with_own = sum(used.get((near, x), 0) for x in index.own[ref])
+                        out.append((k, q, weight, -total[near], -with_own, ref))
             columns = list(zip(*out)) or [[]] * 6
-            types = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["k", "q", "odd", "weight", "less", "ref"])
+            types = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["k", "q", "weight", "less", "less_own", "ref"])
 
     return run
