@@ -23,8 +23,7 @@ def with_zeros(scores: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
 
 def user_cf(train: DataFrame, neighbours: int | None = None, n: int | None = 10) -> DataFrame:
     """Sum of the similarities of the nearest users who have the item. Only items that some of them has are candidates. ``train`` has src (user) and dst (item)."""
-    classes = similarity.set_classes(train)
-    near = similarity.nearest(similarity.jaccard(train, classes), classes, neighbours).select(F.col("a").alias("user"), F.col("b").alias("src"), "sim")
+    near = similarity.neighbours(train, neighbours).select(F.col("a").alias("user"), F.col("b").alias("src"), "sim")
     scores = near.join(train, "src").groupBy("user", F.col("dst").alias("item")).agg(F.sum("sim").alias("score"))
     return ranked(scores, seen(train), n)
 
@@ -32,8 +31,7 @@ def user_cf(train: DataFrame, neighbours: int | None = None, n: int | None = 10)
 def item_cf(train: DataFrame, neighbours: int | None = None, n: int | None = 10) -> DataFrame:
     """Sum of the similarities of the user's items to the item, where it is among their nearest."""
     flipped = train.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    classes = similarity.set_classes(flipped)
-    near = similarity.nearest(similarity.jaccard(flipped, classes), classes, neighbours).select(F.col("a").alias("dst"), F.col("b").alias("item"), "sim")
+    near = similarity.neighbours(flipped, neighbours).select(F.col("a").alias("dst"), F.col("b").alias("item"), "sim")
     scores = train.join(near, "dst").groupBy(F.col("src").alias("user"), "item").agg(F.sum("sim").alias("score"))
     return ranked(scores, seen(train), n)
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from kithgraph.operators import matrix
 from kithgraph.operators.ordering import best
+from kithgraph.session import cut
+
+#: A neighbour is hot if it has more than one part in so many of all edges; fewer than so many are, and each is a bit of a whole number.
+HOT_BITS = 60
 
 
 def set_classes(edges: DataFrame) -> DataFrame:
@@ -48,7 +52,49 @@ def nearest(pairs: DataFrame, classes: DataFrame, k: int | None) -> DataFrame:
 
     Of each class the k+1 nearest classes can hold the k nearest others of its members, and of each of those the k+1 least ids, so only these are expanded.
     """
-    both = pairs.unionAll(pairs.select("b", "a", "sim"))
+    return _expanded(pairs.unionAll(pairs.select("b", "a", "sim")), classes, k)
+
+
+def neighbours(edges: DataFrame, k: int | None) -> DataFrame:
+    """As ``nearest``, from the edges, without forming the pairs that only hot neighbours make.
+
+    Two nodes that share nothing but hot neighbours (such as the one repository that a third of all users have) have a similarity that follows
+    from their sets of hot neighbours and their sizes. So nodes are grouped by these two; of each group the k+1 groups that are nearest, and
+    of each the k+1 least ids, can hold the nearest nodes. Pairs that share another neighbour are formed over those only, and the hot ones
+    they share are counted by bits. A pair found both ways keeps the greater, which is right. With ``k`` None all pairs are wanted, and formed.
+    """
+    classes = cut(set_classes(edges))
+    if k is None:
+        return nearest(jaccard(edges, classes), classes, None)
+    heads = classes.where("src = class_id").select("src", "size")
+    own = cut(edges.select("src", "dst").join(heads.select("src"), "src", "left_semi"))
+    total = own.count()
+    hot = [r[0] for r in own.groupBy("dst").count().where(F.col("count") * HOT_BITS > total).select("dst").orderBy("dst").collect()]
+    bits = F.broadcast(own.sparkSession.createDataFrame([(d, 1 << i) for i, d in enumerate(hot)], own.select("dst", F.lit(1).cast("bigint").alias("bit")).schema))
+    sets = own.join(bits, "dst").groupBy("src").agg(F.sum("bit").alias("p"))
+    sized = cut(heads.join(sets, "src", "left").select("src", "size", F.coalesce("p", F.lit(0)).cast("bigint").alias("p")))
+    sim = lambda n: n / (F.col("na") + F.col("nb") - n)
+    common = F.bit_count(F.col("pa").bitwiseAND(F.col("pb")))
+
+    cold = own.join(bits, "dst", "left_anti")
+    pairs = cold.select(F.col("src").alias("a"), "dst").join(cold.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (sized.select(F.col("src").alias(x), F.col("size").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", sim(F.col("n") + common).alias("sim"))
+
+    groups = cut(sized.where("p != 0").groupBy("p", "size").agg(F.min("src").alias("least")))
+    each = groups.select("p", "size", "least", F.explode(F.filter(F.sequence(F.lit(0), F.lit(HOT_BITS - 1)), lambda i: F.getbit("p", i) == 1)).alias("bit"))
+    one, two = each.select(F.col("p").alias("pa"), F.col("size").alias("na"), "bit"), each.select(F.col("p").alias("pb"), F.col("size").alias("nb"), "least", "bit")
+    near = one.join(two, "bit").drop("bit").distinct().withColumn("sim", sim(common))
+    near = best(near, ["pa", "na"], [F.round("sim", 9).desc(), F.col("least")], k + 1).drop("rank", "least")
+    members = best(sized.where("p != 0").select(F.col("p").alias("pb"), F.col("size").alias("nb"), F.col("src").alias("b")), ["pb", "nb"], [F.col("b")], k + 1).drop("rank")
+    few = best(near.join(members, ["pb", "nb"]), ["pa", "na"], [F.round("sim", 9).desc(), F.col("b")], k + 1).select("pa", "na", "b", "sim")
+    only_hot = sized.select(F.col("src").alias("a"), F.col("p").alias("pa"), F.col("size").alias("na")).join(few, ["pa", "na"]).where("a != b").select("a", "b", "sim")
+    found = pairs.unionAll(pairs.select("b", "a", "sim")).unionAll(only_hot).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return _expanded(found, classes, k)
+
+
+def _expanded(both: DataFrame, classes: DataFrame, k: int | None) -> DataFrame:
+    """Nearest nodes from the nearest classes (in both directions, without themselves)."""
     own = classes.where("src = class_id").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("sim"))
     ranked = [F.round("sim", 9).desc(), F.col("b")]
     reach = None if k is None else k + 1

@@ -196,9 +196,7 @@ def jaccard_item(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_k(spark: SparkSession, d: str) -> DataFrame:
-    edges = _flipped(R.contributor_edges(spark, d))
-    classes = similarity.set_classes(edges)
-    return similarity.nearest(similarity.jaccard(edges, classes), classes, 10).select("a", "b", F.round("sim", 6).alias("sim"), "rank")
+    return similarity.neighbours(_flipped(R.contributor_edges(spark, d)), 10).select("a", "b", F.round("sim", 6).alias("sim"), "rank")
 
 
 def measure(spark: SparkSession, d: str) -> DataFrame:

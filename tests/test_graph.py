@@ -1,5 +1,7 @@
 """Small graphs worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,17 @@ def test_copies_are_one_class(spark, rows, edges):
     assert own[9] == own[1] == 1.0 and set(own) == {1, 2, 3, 9}
 
 
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_hot_neighbours_change_nothing(spark, rows, k):
+    r = random.Random(k)
+    pairs = {(u, 1) for u in range(40) if u % 3} | {(u, 2) for u in range(40) if u % 2} | {(u, r.randrange(3, 40)) for u in range(60) for _ in range(r.randrange(3))}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    classes = similarity.set_classes(e)
+    want = rows(similarity.nearest(similarity.jaccard(e, classes), classes, k), "a", "rank", "b", "sim")
+    assert rows(similarity.neighbours(e, k), "a", "rank", "b", "sim") == want
+    assert similarity.neighbours(e.limit(0), k).count() == 0
+
+
 def test_collaborative_filtering_by_hand(spark, rows, edges):
     user = rows(recommend.user_cf(edges), "user", "item", "rank", "score")
     assert [(u, i, r, round(s, 6)) for u, i, r, s in user if u == 1] == [(1, 13, 1, 1.0)]
