@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.operators.ordering import numbered
 from kithgraph.operators.skew import lookup_join
 from kithgraph.session import cut, tasks
 
@@ -17,15 +18,6 @@ RUN_CODES = 1 << 21
 _RUNS = "code bigint, n bigint"
 
 
-def dense_ids(names: DataFrame, name: str) -> DataFrame:
-    """``names`` (unique, not null) in order with ``item_id`` counting from 0, without bringing them to one task: only the number of rows in each sorted part is gathered."""
-    parts = cut(names.sort(name).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = dict(parts.groupBy("__part").count().collect())
-    before = np.concatenate([[0], np.cumsum([sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)])])
-    starts = names.sparkSession.createDataFrame([(int(i), int(before[i])) for i in sizes], "__part int, __start bigint")
-    return parts.join(F.broadcast(starts), "__part").withColumn("item_id", F.col("__start") + F.col("__row")).drop("__part", "__row", "__start")
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Item-id lists with a weight to runs of pair codes, each run sorted and counted."""
     codes: list[np.ndarray] = []
@@ -87,7 +79,8 @@ def pair_counts(baskets: DataFrame, items: str, least: int = 1, part: int | None
     total = sets.agg(F.sum("weight")).first()[0] or 0
     support = max(least, 1, -(-total // part) if part else 1)
     each = sets.select("set_id", "weight", F.explode("items").alias("item"))
-    names = cut(dense_ids(each.groupBy("item").agg(F.sum("weight").alias("n_item")).where(F.col("n_item") >= support), "item"))
+    counts = each.groupBy("item").agg(F.sum("weight").alias("n_item")).where(F.col("n_item") >= support)
+    names = cut(numbered(counts, "item", name="item_id"))
     lists = lookup_join(each, names, "item").groupBy("set_id").agg(F.sort_array(F.collect_list("item_id")).alias("ids"), F.max("weight").alias("weight"))
     runs = cut(lists.where(F.size("ids") > 1).select("ids", "weight").mapInArrow(_pack, _RUNS))
     width = tasks(spark, runs.count(), RUN_CODES)
