@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The characters that count as white space (those Python's str.strip removes).
 WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-EDGES = rf"^[{WHITE}]+|[{WHITE}]+$"
+_WHITE_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 VISIBLE = rf"[^{WHITE}]"
 #: Longest runs of letters or digits.
 WORD = r"[\p{L}\p{N}]+"
@@ -15,7 +15,7 @@ WORD = r"[\p{L}\p{N}]+"
 
 def trimmed(text: Column) -> Column:
     """``text`` without white space at both ends, Unicode white space included."""
-    return F.regexp_replace(text, EDGES, "")
+    return F.btrim(text, F.lit(_WHITE_CHARACTERS))
 
 
 def has_text(text: Column) -> Column:

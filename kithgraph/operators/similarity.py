@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.operators import matrix
 from kithgraph.operators.ordering import best
+from kithgraph.operators.skew import lookup_join
 from kithgraph.session import cut
 
 #: A neighbour is hot if it has more than one part in so many of all edges; fewer than so many are, and each is a bit of a whole number.
@@ -17,12 +18,13 @@ def set_classes(edges: DataFrame) -> DataFrame:
     """``src``, ``class_id`` (the least src with the very same set of dst), ``size`` of the set and ``members`` of the class.
 
     Sets are told apart by their size and 192 bits of hashes of their elements that combine on the map side, so the list of a
-    node with very many neighbours is never put together.
+    node with very many neighbours is never put together; a class of very many nodes is joined by broadcast.
     """
     parts = [F.bit_xor(F.xxhash64("dst")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "dst")).alias("h2"), F.bit_xor(F.xxhash64("dst", F.lit(2))).alias("h3")]
     signs = edges.groupBy("src").agg(F.count(F.lit(1)).alias("size"), *parts)
-    classes = signs.groupBy("size", "h1", "h2", "h3").agg(F.min("src").alias("class_id"), F.count(F.lit(1)).alias("members"))
-    return signs.join(classes, ["size", "h1", "h2", "h3"]).select("src", "class_id", "size", "members")
+    signs = cut(signs.select("src", "size", F.struct("size", "h1", "h2", "h3").alias("sign")))
+    classes = signs.groupBy("sign").agg(F.min("src").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    return lookup_join(signs, classes, "sign").select("src", "class_id", "size", "members")
 
 
 def jaccard(edges: DataFrame, classes: DataFrame) -> DataFrame:
@@ -101,8 +103,13 @@ def _expanded(both: DataFrame, classes: DataFrame, k: int | None) -> DataFrame:
     some = best(both.unionAll(own), "a", ranked, reach).drop("rank")
     least = best(classes.select(F.col("class_id").alias("b"), "src"), "b", [F.col("src")], reach).drop("rank")
     spread = some.join(least, "b").select("a", F.col("src").alias("b"), "sim")
-    spread = best(spread, "a", ranked, reach).drop("rank")
-    others = classes.select("src", F.col("class_id").alias("a")).join(spread, "a").where(F.col("src") != F.col("b")).select(F.col("src").alias("a"), "b", "sim")
+    members = classes.select("src", F.col("class_id").alias("a"))
+    if k is None:
+        others = members.join(spread, "a")
+    else:  # a class's list has at most k+1 entries, so a large class can be looked up
+        lists = best(spread, "a", ranked, reach).groupBy("a").agg(F.collect_list(F.struct("b", "sim")).alias("list"))
+        others = lookup_join(members, cut(lists), "a").select("src", F.inline("list"))
+    others = others.where(F.col("src") != F.col("b")).select(F.col("src").alias("a"), "b", "sim")
     return best(others, "a", ranked, k)
 
 
