@@ -134,12 +134,14 @@ class Dictionary:
         self.alias: dict[str, list[int]] = defaultdict(list)
         self.deleted: dict[str, set[str]] = defaultdict(set)
         self.own: dict[int, frozenset[str]] = {}
+        self.longest = 0
         for ref, name, alias, qualifiers in entries:
             self.own[ref] = frozenset(filter(None, (normal(q or "") for q in qualifiers)))
             self.names[tight(normal(name), rules)].append(ref)
             if alias and normal(alias):
                 self.alias[normal(alias).replace(" ", "")].append(ref)
         for key in self.names:
+            self.longest = max(self.longest, len(key))
             for d in deletes(key, reach(key)):
                 self.deleted[d].add(key)
 
@@ -149,6 +151,8 @@ class Dictionary:
         if key in self.alias:
             out.append((0.0, key, self.alias[key]))
         n = reach(key)
+        if len(key) > self.longest + n:  # no name is so long
+            return out
         for near in {k for d in deletes(key, n) for k in self.deleted.get(d, ())} - {key}:
             edits, weight = distance(key, near)
             if edits <= min(n, reach(near)):
@@ -156,11 +160,11 @@ class Dictionary:
         return out
 
 
-def split(text: str, rules: Rules, qualifiers: frozenset[str]) -> tuple[str, str]:
-    """A value's key and the qualifier beside it ('' if none): 'name qualifier' or 'qualifier name', with phrases around."""
+def split(text: str, rules: Rules, qualifiers: frozenset[str], longest: int) -> tuple[str, str]:
+    """A value's key and the qualifier beside it ('' if none, at most ``longest`` words): 'name qualifier' or 'qualifier name', with phrases around."""
     flat = stripped(normal(text), rules)
     parts = flat.split(" ")
-    for n in range(1, len(parts)):
+    for n in range(1, min(len(parts), longest + 1)):
         for q, rest in ((parts[-n:], parts[:-n]), (parts[:n], parts[n:])):
             if " ".join(q) in qualifiers:
                 return tight(stripped(" ".join(rest), rules), rules), " ".join(q)
@@ -200,11 +204,12 @@ def match(df: DataFrame, key: str, value: str, reference: DataFrame, ref_id: str
     if len(beside) > QUALIFIERS:
         raise ValueError(f"more than {QUALIFIERS} qualifiers")
     known = frozenset(normal(r[0]) for r in beside) - {""}
+    longest = max((q.count(" ") + 1 for q in known), default=0)
     parts = max(1, -(-entries.count() // ENTRIES))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = [split(v, rules, known) for v in b.column(0).to_pylist()]
+            pairs = [split(v, rules, known, longest) for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["value", "n", "k", "q"])
 
     counts = cut(counts)
