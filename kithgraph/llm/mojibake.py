@@ -32,8 +32,13 @@ BEAM = 16
 #: Distinct tokens that one task reads through all channels.
 TASK_TOKENS = 2_000
 
-#: Runs of letters, other characters than ASCII and character references.
-TOKEN = r"(?:[A-Za-z]|[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5});)+"
+#: Longest token; a longer run is read as several.
+LONGEST = 200
+_HIGH, _REFERENCE = r"\x{80}-\x{10ffff}", "&(?:[A-Za-z]{2,8}|#[0-9]{2,5});"
+#: Runs of letters and other characters than ASCII, or from a character reference on also of what references are made of. No group is repeated: Java would recurse.
+TOKEN = f"[A-Za-z{_HIGH}]{{0,{LONGEST}}}+{_REFERENCE}[A-Za-z0-9&#;{_HIGH}]{{0,{LONGEST}}}+|[A-Za-z{_HIGH}]{{1,{LONGEST}}}"
+#: The same for Python.
+PYTHON_TOKEN = TOKEN.replace(_HIGH, "\x80-\U0010ffff")
 _ODD = r"[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5});"
 _MARK = "�"
 
@@ -250,7 +255,7 @@ def restored(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``garbled``'s texts as restored: ``key``, ``text``, ``n_spans``, and ``whole``: whether every damaged token could be restored."""
     found = garbled(docs, key, text).select(F.col(key).alias("__key"), "spans")
     both = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(found, "__key")
-    pattern, odd = re.compile(TOKEN), re.compile(_ODD)
+    pattern, odd = re.compile(PYTHON_TOKEN), re.compile(_ODD)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

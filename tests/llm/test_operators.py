@@ -229,3 +229,11 @@ def test_viterbi_prefers_one_channel():
     score, picks = mojibake.best_path(spots)
     assert picks == [0, 0, -1] and score == pytest.approx(4.0 - mojibake.SWITCH)
     assert mojibake.best_path([]) == (0.0, []) and mojibake.best_path([[("a", 1.0)]]) == (0.0, [-1])
+
+
+def test_long_runs_are_read_whole(spark):
+    long = "漢" * 30_000 + " " + "&Atilde;&curren;" * 5_000 + " " + "1" * 100_000 + "A" * 30_000 + "&" * 3_000
+    end = spoil(GOOD[0], "cp1252")
+    df = spark.createDataFrame([(i, GOOD[i % 5]) for i in range(40)] + [(99, long + " " + end)], "id long, text string")
+    back = {r.id: r.text for r in mojibake.restored(df, "id", "text").collect()}
+    assert list(back) == [99] and back[99].endswith(GOOD[0]) and len(back[99]) < len(long) + len(end)
