@@ -47,9 +47,14 @@ def content_based(train: DataFrame, features: DataFrame, side: str, users: DataF
     ``features`` are those of items ('target') or users ('source'); ``users`` (user) is the stated set of users, ``items`` (item) the universe.
     """
     m = train.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("w"))
-    source, target = similarity.bigraph_features(m, features, side)
-    wanted = source.join(F.broadcast(users.select(F.col("user").alias("row"))), "row", "left_semi")
-    scores = matrix.dot(wanted, target).select(F.col("a").alias("user"), F.col("b").alias("item"), F.col("sim").alias("score"))
+    asked = F.broadcast(users.select(F.col("user").alias("row")))
+    # only the asked users' features are wanted, so their rows alone are multiplied; rows are normalised one by one
+    if side == "target":
+        source, target = similarity.bigraph_features(m.join(asked, "row", "left_semi"), features, side)
+    else:
+        source, target = similarity.bigraph_features(m, features, side)
+        source = source.join(asked, "row", "left_semi")
+    scores = matrix.dot(source, target).select(F.col("a").alias("user"), F.col("b").alias("item"), F.col("sim").alias("score"))
     return ranked(with_zeros(scores, users, items), seen(train), n)
 
 
