@@ -104,7 +104,7 @@ def _solve(inner: DataFrame, task_links: int) -> DataFrame:
     live, n, reach = links, total, 1
     while n > task_links and reach < 2 * total:
         asked = live.select(F.col("up").alias("node")).distinct()
-        known = live.unionByName(solved.drop("state")).join(asked, "node", "left_semi")
+        known = live.unionByName(_ends(solved)).join(asked, "node", "left_semi")
         found = known.repartition(tasks(inner.sparkSession, n, task_links), "node").mapInArrow(_merge, _FOUND)
         answers = found.select(F.col("node").alias("up"), *[F.col(c).alias(f"__{c}") for c in ("up", "dist", "low", "state")])
         step = cut(lookup_join(live, answers, "up", "left"))
@@ -117,12 +117,17 @@ def _solve(inner: DataFrame, task_links: int) -> DataFrame:
         return cut(solved.drop("low").unionByName(_circles(live, solved)))
     if n:
         asked = live.select(F.col("up").alias("node")).distinct()
-        helpers = solved.join(asked, "node", "left_semi").drop("state")
+        helpers = _ends(solved).join(asked, "node", "left_semi")
         last = live.unionByName(helpers).repartition(1).mapInArrow(_merge, _FOUND)
         solved = solved.unionByName(last.join(live.select("node"), "node", "left_semi"))
     return cut(solved.drop("low"))
 
 
+def _ends(solved: DataFrame) -> DataFrame:
+    """Solved nodes as links. One that goes round stands for its circle, as a link to itself, since the circle's least id needn't be among the links it is merged with."""
+    return solved.select("node", F.when(F.col("state") == CIRCLE, F.col("node")).otherwise(F.col("up")).alias("up"), "dist", "low")
+
+
 def _circles(live: DataFrame, solved: DataFrame) -> DataFrame:
     """Walks of more steps than there are nodes stand on a circle, at a place whose own walk is as long or known to go round: the least id on that is the circle's."""
     places = live.select(F.col("node").alias("up"), F.col("low").alias("__low")).unionByName(solved.where(F.col("state") == CIRCLE).select(F.col("node").alias("up"), F.col("low").alias("__low")))
