@@ -75,15 +75,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fused(spark: SparkSession, d: str) -> DataFrame:
-    """The most probable value of each account field; a source is the kind of item and the month of its crawl."""
-    fields = FIELDS["account"]
-    claims = table(spark, d, "account").select(
-        "id",
-        F.concat_ws("/", "item", F.date_format("crawled_at", "yyyy-MM")).alias("source"),
-        F.struct(F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("u"), F.col("line_no").alias("l")).alias("at"),
-        F.inline(F.array(*[F.struct(F.lit(f).alias("field"), trimmed(F.col(f)).alias("value")) for f in fields])),
-    )
-    return survivors.fuse(claims)
+    """The most probable value of each field of each entity; a source is the kind of item and the month of its crawl."""
+    out = None
+    for entity, fields in FIELDS.items():
+        claims = table(spark, d, entity).select(
+            "id",
+            F.concat_ws("/", "item", F.date_format("crawled_at", "yyyy-MM")).alias("source"),
+            F.struct(F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("u"), F.col("line_no").alias("l")).alias("at"),
+            F.inline(F.array(*[F.struct(F.lit(f).alias("field"), trimmed(F.col(f)).alias("value")) for f in fields])),
+        )
+        best = survivors.fuse(claims).select(F.lit(entity).alias("entity"), "id", "field", "value", "probability")
+        out = best if out is None else out.unionAll(best)
+    return out
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

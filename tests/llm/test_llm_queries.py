@@ -41,3 +41,17 @@ def test_ids_as_the_tokenizers_library_gives_them(spark):
     docs = {r.doc_id: r.text for r in table(spark, FOLDER, "documents").select("doc_id", "text").collect()}
     got = {r.doc_id: r.ids for r in queries.p8_ids(spark, FOLDER).collect()}
     assert got == {k: t.encode(v or "", add_special_tokens=False).ids for k, v in docs.items()}
+
+
+def test_every_claimed_field_of_both_entities_is_fused(spark):
+    from pyspark.sql import functions as F
+
+    from kithgraph.functions.text import has_text
+
+    got = {(r.entity, r.id, r.field) for r in queries.p7_fused(spark, FOLDER).collect()}
+    want = set()
+    for entity, fields in queries.FIELDS.items():
+        rows = table(spark, FOLDER, entity).where(F.col("id").isNotNull())
+        for f in fields:
+            want |= {(entity, r.id, f) for r in rows.where(has_text(F.col(f))).select("id").distinct().collect()}
+    assert got == want and {e for e, *_ in got} == {"account", "repository"}
