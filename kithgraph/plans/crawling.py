@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kithgraph.functions import web
 from kithgraph.operators import crawl
 from kithgraph.plans import relations as R
+from kithgraph.session import cut
 from kithgraph.sources.tables import table
 
 SITE = "https://api.hub.example"
@@ -85,12 +86,18 @@ def start_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Who is reached from the users with an id of the query set along follow edges in three steps."""
+    """Who is reached along follow edges in three steps from the users whose id is divisible by 20 times QUERY_IDS, as the SQL states; ``bfs_levels_whole`` takes the whole query set to the end."""
     edges = R.follow_edges(spark, d)
     starts = edges.where(F.col("src") % (20 * R.QUERY_IDS) == 0).select(F.col("src").alias("node"))
     return crawl.levels(edges, starts, 3)
 
 
+def bfs_levels_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Who is reached from the users with an id of the query set along follow edges, however far."""
+    edges = cut(R.follow_edges(spark, d))
+    return crawl.levels(edges, edges.where(F.col("src") % R.QUERY_IDS == 0).select(F.col("src").alias("node")))
+
+
 def depth_filter(spark: SparkSession, d: str) -> DataFrame:
     requests = _requests(spark, d).select(
         "n", crawl.child_depth((F.col("n") % 4).cast("int"), F.col("n") % 2 == 0).alias("depth"), (F.col("n") % 3 != 0).alias("visit"), (F.col("n") % 10 == 0).alias("start"), (F.col("n") % 2 == 0).alias("has_previous_page")
@@ -108,6 +115,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         expand_endpoint, parse_endpoint, paginated_url, parse_link_header, rate_limit, policy_filter, dedup_summaries, request_log, visited_pending, start_requests,
-        bfs_levels, depth_filter, unvisited_requests,
+        bfs_levels, bfs_levels_whole, depth_filter, unvisited_requests,
     )
 }

@@ -44,3 +44,18 @@ def test_walks_go_ten_steps(spark, more):
     for u in users:
         best = sorted((i for i in items if (u, i) not in seen), key=lambda i: (-round(want[u].get(f"R{i}", 0), 9), i))[:10]
         assert [got[u, k + 1] for k in range(len(best))] == best
+
+
+def test_levels_of_the_whole_query_set_to_the_end(spark):
+    ahead = {}
+    for e in R.follow_edges(spark, FOLDER).collect():
+        ahead.setdefault(e.src, []).append(e.dst)
+    depth = {n: 0 for n in ahead if n % R.QUERY_IDS == 0}
+    queue = list(depth)
+    for n in queue:
+        for m in ahead.get(n, ()):
+            if m not in depth:
+                depth[m] = depth[n] + 1
+                queue.append(m)
+    got = {r.node: r.depth for r in catalog.QUERIES["bfs_levels_whole"](spark, FOLDER).collect()}
+    assert got == depth and len(got) > catalog.QUERIES["bfs_levels"](spark, FOLDER).count()
