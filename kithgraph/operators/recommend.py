@@ -36,6 +36,22 @@ def item_cf(train: DataFrame, neighbours: int | None = None, n: int | None = 10)
     return ranked(scores, seen(train), n)
 
 
+def user_cf_of(train: DataFrame, users: DataFrame) -> DataFrame:
+    """``user_cf`` with all neighbours and whole lists for a stated set of ``users`` (user), whose pairs alone are formed."""
+    near = similarity.neighbours_of(train, users.select(F.col("user").alias("src"))).select(F.col("a").alias("user"), F.col("b").alias("src"), "sim")
+    scores = near.join(train, "src").groupBy("user", F.col("dst").alias("item")).agg(F.sum("sim").alias("score"))
+    return ranked(scores, seen(train), None)
+
+
+def item_cf_of(train: DataFrame, users: DataFrame) -> DataFrame:
+    """``item_cf`` with all neighbours and whole lists for a stated set of ``users`` (user); only pairs of their items are formed."""
+    own = train.join(F.broadcast(users.select(F.col("user").alias("src"))), "src", "left_semi")
+    flipped = train.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    near = similarity.neighbours_of(flipped, own.select(F.col("dst").alias("src")).distinct()).select(F.col("a").alias("dst"), F.col("b").alias("item"), "sim")
+    scores = own.join(near, "dst").groupBy(F.col("src").alias("user"), "item").agg(F.sum("sim").alias("score"))
+    return ranked(scores, seen(train), None)
+
+
 def seen(train: DataFrame) -> DataFrame:
     """(user, item) of the training edges."""
     return train.select(F.col("src").alias("user"), F.col("dst").alias("item"))

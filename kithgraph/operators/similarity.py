@@ -95,6 +95,15 @@ def neighbours(edges: DataFrame, k: int | None) -> DataFrame:
     return _expanded(found, classes, k)
 
 
+def neighbours_of(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """All others that share a neighbour with each of the ``asked`` nodes (src): ``a``, ``b``, ``sim`` (Jaccard)."""
+    sizes = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    own = edges.join(asked, "src", "left_semi").select(F.col("src").alias("a"), "dst")
+    both = own.join(edges.select(F.col("src").alias("b"), "dst"), "dst").where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sized = both.join(sizes.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("sim"))
+
+
 def _expanded(both: DataFrame, classes: DataFrame, k: int | None) -> DataFrame:
     """Nearest nodes from the nearest classes (in both directions, without themselves)."""
     own = classes.where("src = class_id").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("sim"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,12 +197,14 @@ def rec_random_walk_other_graph_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 class _Judged:
-    """Collaborative filtering on the split, with its frequencies."""
+    """Collaborative filtering on the split, with its frequencies; ``whole`` has all neighbours and whole lists of the query set's users instead of the capped ones of all."""
 
-    def __init__(self, spark: SparkSession, d: str) -> None:
+    def __init__(self, spark: SparkSession, d: str, whole: bool = False) -> None:
         h = R.Holdout(spark, d)
-        self.recs = cut(recommend.user_cf(h.train, NEIGHBOURS, LENGTH))
+        self.recs = cut(recommend.user_cf_of(h.train, h.some_users) if whole else recommend.user_cf(h.train, NEIGHBOURS, LENGTH))
         self.train, self.test = recommend.seen(h.train), recommend.seen(h.test)
+        if whole:
+            self.train, self.test = (x.where(F.col("user") % R.QUERY_IDS == 0) for x in (self.train, self.test))
         self.items = h.items
 
     def frequencies(self) -> DataFrame:
@@ -213,41 +217,53 @@ class _Judged:
         return evaluate.average_precision(self.recs, self.train, self.test)
 
 
-def frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return _Judged(spark, d).frequencies()
+def frequencies(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _Judged(spark, d, whole).frequencies()
 
 
-def precision_recall(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_Judged(spark, d).rates())
+def precision_recall(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _rounded(_Judged(spark, d, whole).rates())
 
 
-def pr_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(evaluate.curves(_Judged(spark, d).rates())[0])
+def pr_curve(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _rounded(evaluate.curves(_Judged(spark, d, whole).rates())[0])
 
 
-def roc_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(evaluate.curves(_Judged(spark, d).rates())[1])
+def roc_curve(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _rounded(evaluate.curves(_Judged(spark, d, whole).rates())[1])
 
 
-def average_precision(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_Judged(spark, d).ap())
+def average_precision(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _rounded(_Judged(spark, d, whole).ap())
 
 
-def mean_average_precision(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(evaluate.mean_average_precision(_Judged(spark, d).ap()))
+def mean_average_precision(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _rounded(evaluate.mean_average_precision(_Judged(spark, d, whole).ap()))
 
 
-def roc_auc(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(evaluate.roc_auc(_Judged(spark, d).rates()))
+def roc_auc(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _rounded(evaluate.roc_auc(_Judged(spark, d, whole).rates()))
 
 
-def metric_report(spark: SparkSession, d: str) -> DataFrame:
+def metric_report(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Precision and recall at each rank, MAP and AUC of collaborative filtering on the split."""
-    j = _Judged(spark, d)
+    j = _Judged(spark, d, whole)
     rates = j.rates()
     return _rounded(rates.select("k", "precision", "recall").crossJoin(evaluate.mean_average_precision(j.ap())).crossJoin(evaluate.roc_auc(rates)))
 
 
+def rec_user_cf_whole(spark: SparkSession, d: str) -> DataFrame:
+    """For the query set's users, with all neighbours and whole lists."""
+    h = R.Holdout(spark, d)
+    return _rounded_score(recommend.user_cf_of(h.train, h.some_users))
+
+
+def rec_item_cf_whole(spark: SparkSession, d: str) -> DataFrame:
+    """For the query set's users, with all neighbours and whole lists."""
+    h = R.Holdout(spark, d)
+    return _rounded_score(recommend.item_cf_of(h.train, h.some_users))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -255,6 +271,8 @@ QUERIES = {
         edge_features_user, edge_features_repository, edge_features_language, edge_features_similarity, edge_features_combined, rec_user_cf, rec_item_cf, rec_random, rec_language,
         rec_description, rec_quasi_user, rec_quasi_item, rec_follower, rec_followee, personal_rank, rec_random_walk, rec_random_walk_other_graph, frequencies, precision_recall,
         pr_curve, roc_curve, average_precision, mean_average_precision, roc_auc, metric_report,
-        personal_rank_whole, rec_random_walk_whole, rec_random_walk_other_graph_whole,
+        personal_rank_whole, rec_random_walk_whole, rec_random_walk_other_graph_whole, rec_user_cf_whole, rec_item_cf_whole,
     )
 }
+JUDGED = (frequencies, precision_recall, pr_curve, roc_curve, average_precision, mean_average_precision, roc_auc, metric_report)
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in JUDGED}

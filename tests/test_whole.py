@@ -59,3 +59,49 @@ def test_levels_of_the_whole_query_set_to_the_end(spark):
                 queue.append(m)
     got = {r.node: r.depth for r in catalog.QUERIES["bfs_levels_whole"](spark, FOLDER).collect()}
     assert got == depth and len(got) > catalog.QUERIES["bfs_levels"](spark, FOLDER).count()
+
+
+def sets(edges) -> tuple[dict, dict]:
+    of, by = {}, {}
+    for a, b in edges:
+        of.setdefault(a, set()).add(b)
+        by.setdefault(b, set()).add(a)
+    return of, by
+
+
+def test_collaborative_filtering_with_all_neighbours(spark):
+    h = R.Holdout(spark, FOLDER)
+    train, test = (sets((e.src, e.dst) for e in x.collect())[0] for x in (h.train, h.test))
+    _, users_of = sets((u, i) for u in train for i in train[u])
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    asked = [u for u in train if u % R.QUERY_IDS == 0]
+
+    def ranked(scores: dict, u: int) -> list:
+        return [i for i in sorted(scores, key=lambda i: (-round(scores[i], 9), i)) if i not in train[u] and scores[i] > 0]
+
+    by_user, by_item = {}, {}
+    for u in asked:
+        one, two = {}, {}
+        for v in train:
+            if v != u and train[u] & train[v]:
+                for i in train[v]:
+                    one[i] = one.get(i, 0) + jaccard(train[u], train[v])
+        for j in train[u]:
+            for i in users_of:
+                if i != j and users_of[i] & users_of[j]:
+                    two[i] = two.get(i, 0) + jaccard(users_of[i], users_of[j])
+        by_user[u], by_item[u] = ranked(one, u), ranked(two, u)
+    for name, want in (("rec_user_cf_whole", by_user), ("rec_item_cf_whole", by_item)):
+        got = {}
+        for r in sorted(catalog.QUERIES[name](spark, FOLDER).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.user, []).append(r.item)
+        assert got == {u: x for u, x in want.items() if x}
+        assert max(map(len, got.values())) > 20
+    ap = {}
+    for u in asked:
+        if u in test:
+            hits = [k + 1 for k, i in enumerate(by_user[u]) if i in test[u]]
+            ap[u] = sum((n + 1) / k for n, k in enumerate(hits)) / len(test[u])
+    assert {r.user: r.ap for r in catalog.QUERIES["average_precision_whole"](spark, FOLDER).collect()} == pytest.approx(ap, abs=2e-6)
+    report = catalog.QUERIES["metric_report_whole"](spark, FOLDER).collect()
+    assert {r.k for r in report} == {5, 10, 20} and report[0].map == pytest.approx(sum(ap.values()) / len(ap), abs=2e-6)
