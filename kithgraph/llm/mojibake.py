@@ -5,11 +5,12 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.session import cut, tasks
@@ -26,21 +27,38 @@ OFTEN_LOST = (0xA0, 0xAD, 0x81, 0x8D, 0x8F, 0x90, 0x9D)
 LOST, SWITCH, GAIN = 4.0, 1.5, 1.0
 #: What a lost character tells by itself.
 REPLACED = 5.0
-#: Most readings of one token through one channel that are carried on (a beam; those with the likeliest characters stay).
-BEAM = 16
-
-#: Distinct tokens that one task reads through all channels.
+#: What a known reading of a token too short to tell by itself is worth beside others of its channel.
+BESIDE = 0.001
+#: Bounds, in nats, of what the frequencies of two words may tell against the likelihood of their characters.
+WORD_LOW, WORD_HIGH = -6.0, 3.0
+#: Cost of an ASCII letter in a reading that isn't a known word.
+LETTER = 3.0
+#: Of the occurrences of the words that fit a damaged one, the share that the commonest needs to be taken for it.
+SURE = 2 / 3
+#: Bytes of one character that may be lost at once.
+MOST_LOST = 2
+#: Times that UTF-8 may have been read in the same encoding.
+DEPTHS = 3
+
+#: Distinct tokens that one task reads through all channels, and words that one task fits to damaged ones.
 TASK_TOKENS = 2_000
+#: Parts of the commonest tokens' rows, and the share of all occurrences (one in so many) that makes a token one of these.
+SALTS, HOT_PARTS = 64, 500
 
-#: Longest token; a longer run is read as several.
-LONGEST = 200
 _HIGH, _REFERENCE = r"\x{80}-\x{10ffff}", "&(?:[A-Za-z]{2,8}|#[0-9]{2,5});"
-#: Runs of letters and other characters than ASCII, or from a character reference on also of what references are made of. No group is repeated: Java would recurse.
-TOKEN = f"[A-Za-z{_HIGH}]{{0,{LONGEST}}}+{_REFERENCE}[A-Za-z0-9&#;{_HIGH}]{{0,{LONGEST}}}+|[A-Za-z{_HIGH}]{{1,{LONGEST}}}"
+#: Whole runs of letters and other characters than ASCII that have such a character or a character reference; from a reference on also of what
+#: references are made of. No group is repeated (Java would recurse) and a run is only looked at from its start, so time is linear.
+TOKEN = f"(?<![A-Za-z{_HIGH}])[A-Za-z]*+(?:[{_HIGH}][A-Za-z{_HIGH}]*+(?:{_REFERENCE}[A-Za-z0-9&#;{_HIGH}]*+)?|{_REFERENCE}[A-Za-z0-9&#;{_HIGH}]*+)"
 #: The same for Python.
 PYTHON_TOKEN = TOKEN.replace(_HIGH, "\x80-\U0010ffff")
-_ODD = r"[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5});"
 _MARK = "�"
+#: Label of a lattice's edge for any character beyond ASCII.
+_ANY = ""
+#: Characters of a word's two ends that are looked up, and most readings of an end.
+_ENDS, MOST_ENDS = 4, 12
+
+#: node -> edges (next node, character, bytes supposed lost, whether the last channel made it); nodes are places in the text.
+Lattice = list[list[tuple[int, str, int, bool]]]
 
 
 @lru_cache(maxsize=None)
@@ -67,85 +85,230 @@ def _width(lead: int) -> int:
     return 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
 
 
-def readings(text: str, encoding: str, likely) -> list[tuple[str, int]]:
-    """Texts whose UTF-8 bytes, read in ``encoding``, may have become ``text``: (reading, bytes supposed lost), without ``text`` itself.
+@lru_cache(maxsize=None)
+def _may_be(encoding: str) -> re.Pattern:
+    """What a text must have to be UTF-8 read in the encoding, one byte missing or not."""
+    of = lambda low, high: re.escape("".join(c for c, b in _bytes_of(encoding).items() if low <= b <= high and c >= "\x80"))
+    follows = f"[{of(0x80, 0xBF)}{_MARK}]"
+    return re.compile(f"[{of(0xC2, 0xDF)}]|[{of(0xE0, 0xEF)}]{follows}|[{of(0xF0, 0xF4)}]{follows}{follows}")
+
+
+def plain(text: str) -> Lattice:
+    """The lattice of a text that is read as it is."""
+    return [[(i + 1, c, 0, False)] for i, c in enumerate(text)]
+
+
+def decoded(lattice: Lattice, encoding: str) -> Lattice | None:
+    """The lattice of texts whose UTF-8 bytes, read in ``encoding``, may have become one of ``lattice``'s; None if there is none.
+
+    A character is its byte, a replacement mark any byte without a character, and after a lead byte the last byte may be missing where no
+    continuation follows. What is no UTF-8 stays as it is, so partly damaged text is read too; where a sequence is complete, it is read. Paths with the same
+    character between the same places are one edge (the one of fewest lost bytes), so the lattice is linear in the text.
+    """
+    table, out, any_new = _bytes_of(encoding), [], False
+    for edges in lattice:
+        best: dict[tuple[int, str], int] = {}
+        stay = []
+        for edge in edges:
+            to, c, lost, _ = edge
+            width = _width(table.get(c, 0)) if c >= "\x80" else 0
+            complete = False
+            if width:
+                paths = [(to, bytes([table[c]]), lost, 0)]
+                for left in range(width - 1, 0, -1):
+                    longer = []
+                    for at, seen, n, here in paths:
+                        follows = False
+                        for j, d, m, _ in lattice[at] if at < len(lattice) else ():
+                            if d == _MARK:
+                                follows = True
+                                if here < MOST_LOST:
+                                    longer += [(j, seen + bytes([b]), n + m + 1, here + 1) for b in _blank(encoding)]
+                            elif d >= "\x80" and 0x80 <= table.get(d, 0) <= 0xBF:
+                                follows = True
+                                longer.append((j, seen + bytes([table[d]]), n + m, here))
+                        if left == 1 and not follows and not here:
+                            longer += [(at, seen + bytes([b]), n + 1, 1) for b in OFTEN_LOST]
+                    paths = longer
+                for at, seen, n, here in paths:
+                    try:
+                        k = at, seen.decode()
+                    except UnicodeDecodeError:
+                        continue
+                    complete |= not here
+                    best[k] = min(n, best.get(k, n))
+            if not complete:
+                stay.append((to, c, lost, False))
+        any_new |= bool(best)
+        out.append(stay + [(to, c, n, True) for (to, c), n in best.items()])
+    return out if any_new else None
+
+
+def lost_characters(text: str) -> Lattice:
+    """The lattice of a text with replacement marks: each mark is one character beyond ASCII, or a byte of one in UTF-8."""
+    out = plain(text)
+    for i, c in enumerate(text):
+        if c == _MARK:
+            out[i] = [(i + w, _ANY, w, True) for w in (1, 2, 3, 4) if text.startswith(_MARK * w, i)]
+    return out
+
+
+def likeliest(lattice: Lattice, likely: Callable[[str], float]) -> tuple[float, str, int] | None:
+    """Viterbi: the path through at least one edge of the last channel whose characters are likeliest, lost bytes counting against it: (score, reading, bytes lost)."""
+    n = len(lattice)
+    states: list[list[tuple[float, int, str, int, int, bool] | None]] = [[None, None] for _ in range(n + 1)]
+    states[0][0] = (0.0, 0, "", -1, 0, False)
+    for i in range(n):
+        for flag in (0, 1):
+            state = states[i][flag]
+            if state is None:
+                continue
+            for to, c, lost, new in lattice[i]:
+                score = state[0] - LOST * lost + (likely(c) if c >= "\x80" else 0.0)
+                own = states[to][f := int(flag or new)]
+                if own is None or score > own[0]:
+                    states[to][f] = (score, state[1] + lost, c, i, flag, True)
+    end = states[n][1]
+    if end is None:
+        return None
+    letters, at, flag = [], n, 1
+    while at or flag:
+        _, _, c, i, f, _ = states[at][flag]
+        letters.append(c)
+        at, flag = i, f
+    return end[0], "".join(reversed(letters)), end[1]
+
+
+def fits(lattice: Lattice, word: str) -> int | None:
+    """Fewest lost bytes with which a path of ``lattice`` that has an edge of the last channel reads ``word``; None if none does."""
+    now = {(0, False): 0}
+    for c in word:
+        new: dict[tuple[int, bool], int] = {}
+        for (i, flag), n in now.items():
+            for to, d, lost, changed in lattice[i] if i < len(lattice) else ():
+                if d == c or d == _ANY and c >= "\x80" and c != _MARK and (to - i == 1 or len(c.encode()) == to - i):
+                    k = to, flag or changed
+                    new[k] = min(n + lost, new.get(k, n + lost))
+        if not new:
+            return None
+        now = new
+    return now.get((len(lattice), True))
+
+
+def ends(lattice: Lattice) -> tuple[list[str], int, int, bool]:
+    """Keys of the ends that a path may have, fewest and most characters of a path, and whether any byte is in doubt.
 
-    The byte lattice: a character is its byte, a replacement mark any byte without a character, and after a lead byte one byte may be
-    missing where no continuation follows. What is no UTF-8 stays as it is, so partly damaged text is read too.
+    An end is as many characters, up to _ENDS, as have at most MOST_ENDS readings; every path has one of the first ends and one of the last. There are no
+    keys if both ends may be any character.
     """
-    table = _bytes_of(encoding)
-    paths: list[tuple[str, int, bool]] = [("", 0, False)]
-    i = 0
-    while i < len(text):
-        lead = table.get(text[i], -1) if text[i] >= "\x80" else -1
-        width, options = _width(lead) if lead >= 0 else 0, []
-        if width:
-            rest = [None if c == _MARK else table.get(c, -1) if c >= "\x80" else -1 for c in text[i + 1 : i + width]]
-            rest += [-1] * (width - 1 - len(rest))
-            good = [b is None or 0x80 <= b <= 0xBF for b in rest]
-            if all(good):
-                choices = [()]
-                for b in rest:
-                    choices = [c + (x,) for c in choices for x in (_blank(encoding) if b is None else (b,))]
-                options += [(c, sum(b is None for b in rest), width) for c in choices]
-            elif sum(good) == width - 2 and not good[-1]:
-                options += [((*rest[:-1], x), 1, width - 1) for x in OFTEN_LOST if None not in rest]
-        read = []
-        for tail, lost, step in options:
+    n = len(lattice)
+    least, most, into = {0: 0}, {0: 0}, defaultdict(list)
+    doubt = False
+    for i in range(n):
+        if i in least:
+            doubt |= len(lattice[i]) > 1 or any(e[2] for e in lattice[i])
+            for to, c, _, _ in lattice[i]:
+                least[to], most[to] = min(least[i] + 1, least.get(to, n + 1)), max(most[i] + 1, most.get(to, 0))
+                into[to].append((i, c))
+
+    def walk(start: int, edges: Callable[[int], Iterable[tuple[int, str]]], stop: int, join: Callable[[str, str], str]) -> list[str]:
+        now = {("", start)}
+        for _ in range(_ENDS):
+            if any(at == stop for _, at in now) or any(c == _ANY for _, at in now for _, c in edges(at)):
+                break
+            longer = {(join(s, c), to) for s, at in now for to, c in edges(at)}
+            if len({s for s, _ in longer}) > MOST_ENDS:
+                break
+            now = longer
+        return sorted({s for s, _ in now})
+
+    first = walk(0, lambda at: [(to, c) for to, c, _, _ in lattice[at]], n, lambda s, c: s + c)
+    last = walk(n, lambda at: into[at], 0, lambda s, c: c + s)
+    b = max(0, min(len(last[0]), least[n] - len(first[0])))
+    last = sorted({s[len(s) - b :] for s in last})
+    return [f"{len(x)}{x}\n{y}" for x in first for y in last if x or y], least[n], most[n], doubt
+
+
+@lru_cache(maxsize=None)
+def _single_table(written: str, read: str) -> dict[int, str]:
+    """Characters beyond ASCII as the other encoding has their byte; those it can't have become a mark."""
+    out = {}
+    for c, b in _bytes_of(read).items():
+        if c >= "\x80":
             try:
-                read.append((bytes([lead, *tail]).decode(), lost, step))
+                out[ord(c)] = bytes([b]).decode(written) if b >= 0x80 else _MARK
             except UnicodeDecodeError:
-                pass
-        if not read:
-            paths = [(p + text[i], n, c) for p, n, c in paths]
-            i += 1
-            continue
-        step = read[0][2]
-        lost_here = read[0][1]
-        grown = [(p + c, n + lost, True) for p, n, _ in paths for c, lost, _ in read]
-        if lost_here:
-            grown += [(p + text[i : i + step], n, c) for p, n, c in paths]
-        paths = sorted(grown, key=lambda x: LOST * x[1] - likely(x[0]))[:BEAM]
-        i += step
-    return [(p, n) for p, n, changed in paths if changed]
-
-
-def _single(text: str, written: str, read: str) -> str | None:
-    table, other = _bytes_of(read), []
-    for c in text:
-        if c < "\x80":
-            other.append(c)
-            continue
-        b = table.get(c, -1)
-        if b < 0x80:
-            return None
-        try:
-            other.append(bytes([b]).decode(written))
-        except UnicodeDecodeError:
-            return None
-    return "".join(other)
+                out[ord(c)] = _MARK
+    return out
 
 
-def candidates(token: str, likely) -> list[tuple[str, str, int]]:
-    """(channel, reading, bytes supposed lost) of a token, each at most once a channel; none for sound-looking tokens."""
-    out: dict[tuple[str, str], int] = {}
-    base = html.unescape(token) if "&" in token else token
-    high = sum(c >= "\x80" for c in base)
-    if not high:
-        return []
+def _base(token: str) -> str:
+    return html.unescape(token) if "&" in token else token
+
+
+def lattices(token: str) -> Iterator[tuple[str, Lattice]]:
+    """Each channel of UTF-8 read in another encoding that may have made the token, with its lattice."""
+    base = _base(token)
+    if base.isascii():
+        return
     for encoding in READ_AS:
-        level = [(base, 0)]
-        for depth in (1, 2, 3):
-            level = [(r, n + m) for t, n in level for r, m in readings(t, encoding, likely)][:BEAM]
-            for r, n in level:
-                out.setdefault((f"utf_8>{encoding}" + f"*{depth}" * (depth > 1), r), n)
-    letters = sum(c >= "\x80" and (c.isalpha() or not c.isspace()) for c in base)
-    if letters >= 3 or (letters and len(base) > letters + 1):
-        for written, read in SINGLE:
-            r = _single(base, written, read)
-            if r and r != base and all(c.isalpha() for c in r):
-                out.setdefault((f"{written}>{read}", r), 0)
-    return [(c, r, n) for (c, r), n in out.items()]
+        if not _may_be(encoding).search(base):
+            continue
+        lattice = plain(base)
+        for depth in range(1, DEPTHS + 1):
+            lattice = decoded(lattice, encoding)
+            if lattice is None:
+                break
+            yield f"utf_8>{encoding}" + f"*{depth}" * (depth > 1), lattice
+
+
+@lru_cache(maxsize=512)
+def _lattice_of(token: str, channel: str) -> Lattice:
+    if channel == "lost":
+        return lost_characters(token)
+    encoding, _, depth = channel.removeprefix("utf_8>").partition("*")
+    lattice = plain(_base(token))
+    for _ in range(int(depth or 1)):
+        lattice = decoded(lattice, encoding)
+    return lattice
+
+
+def one_byte(token: str) -> Iterator[tuple[str, str]]:
+    """(channel, reading) for encodings of one byte a character taken for each other."""
+    base = _base(token)
+    high = [c for c in base if c >= "\x80"]
+    for written, read in SINGLE:
+        table = _single_table(written, read)
+        if all(ord(c) in table for c in high):
+            r = base.translate(table)
+            if r != base and r.isalpha():
+                yield f"{written}>{read}", r
+
+
+def tells(token: str) -> bool:
+    """Whether a token is more than an odd character or two."""
+    base = _base(token)
+    letters = sum(c >= "\x80" and not c.isspace() for c in base)
+    return letters >= 3 or bool(letters) and len(base) > letters + 1
+
+
+def likelihood(counts: dict[str, int]) -> Callable[[str], float]:
+    """Log-probability of characters beyond ASCII from their counts. Unseen ones take, as Witten and Bell have it, the share of all kinds met, spread over blocks of 128 as often as these occur."""
+    total, kinds = sum(counts.values()), len(counts) + 1
+    blocks: dict[int, int] = defaultdict(int)
+    for c, n in counts.items():
+        blocks[ord(c) >> 7] += n
+    every = (0x110000 >> 7) * 128
+    known: dict[str, float] = {}
+
+    def one(c: str) -> float:
+        v = known.get(c)
+        if v is None:
+            spread = (blocks.get(ord(c) >> 7, 0) / 128 + kinds / every) / (total + kinds)
+            v = known[c] = math.log((counts.get(c, 0) + kinds * spread) / (total + kinds))
+        return v
+
+    return one
 
 
 def best_path(spots: list[list[tuple[str, float]]]) -> tuple[float, list[int]]:
@@ -171,50 +334,95 @@ def best_path(spots: list[list[tuple[str, float]]]) -> tuple[float, list[int]]:
     return score, picks[::-1]
 
 
-def _tokens(docs: DataFrame, text: str):
-    return F.filter(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), lambda t: t.rlike(_ODD))
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def _odd_texts(docs: DataFrame, text: str) -> DataFrame:
+    """Texts that can have tokens at all; those of ASCII alone aren't searched."""
+    return docs.where((F.octet_length(text) > F.length(text)) | F.contains(F.col(text), F.lit("&")))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_PROPOSED = pa.schema([("token", pa.string()), ("n", pa.int64()), ("channel", pa.string()), ("reading", pa.string()), ("chars", pa.float64()), ("own", pa.float64()), ("lost", pa.int32()), ("key", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
+_FITTED = pa.schema([("token", pa.string()), ("n", pa.int64()), ("channel", pa.string()), ("reading", pa.string()), ("chars", pa.float64()), ("own", pa.float64()), ("lost", pa.int32()), ("n_reading", pa.int64())])
+
+
+def _end_keys(word: Column) -> Column:
+    """All keys of a word's ends, of up to _ENDS characters each; the two may not overlap."""
+    sizes = [(a, b) for a in range(_ENDS + 1) for b in range(_ENDS + 1) if a + b]
+    keys = [F.when(F.length(word) >= a + b, F.concat(F.lit(f"{a}"), F.left(word, F.lit(a)), F.lit("\n"), F.right(word, F.lit(b)))) for a, b in sizes]
+    return F.array_compact(F.array(*keys))
 
 
-def suspects(docs: DataFrame, text: str) -> DataFrame:
-    """Tokens of the corpus that are likelier the result of a wrong decoding: ``token`` and ``choices`` (channel, reading, gain > 0)."""
-    spark = docs.sparkSession
-    counts = cut(docs.select(F.explode(F.array_distinct(_tokens(docs, text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+def suspects(counts: DataFrame, total: int) -> DataFrame:
+    """Of ``counts`` (token, n; ``total`` occurrences) the tokens that are likelier the result of a wrong decoding: ``token`` and ``choices`` (gain > 0, channel, reading), at most one a channel."""
+    spark = counts.sparkSession
     # at most one entry for each code point there is, whatever the corpus
     chars = dict(counts.select(F.explode(F.split("token", "")).alias("c"), "n").where(F.col("c") > "\x7f").groupBy("c").agg(F.sum("n")).collect())
-    total = sum(chars.values()) or 1
-    sent = spark.sparkContext.broadcast({c: math.log(n / total) for c, n in chars.items()})
-    never = math.log(0.5 / total)
+    sent = spark.sparkContext.broadcast(chars)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-
-        def likely(s: str) -> float:
-            return sum(known.get(c, never) for c in s if c >= "\x80")
-
+        likely = likelihood(sent.value)
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
             for token, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                plain = likely(html.unescape(token) if "&" in token else token)
-                for channel, reading, lost in candidates(token, likely):
-                    if any(c >= "\x80" and c not in known for c in reading):
+                own = sum(likely(c) for c in _base(token) if c >= "\x80")
+                for channel, lattice in lattices(token):
+                    found = likeliest(lattice, likely)
+                    if found is None or found[0] - own + WORD_HIGH <= 0:  # no word can make up for it: it has no likelier characters
                         continue
-                    rows.append((token, n, channel, reading, likely(reading) - plain - LOST * lost))
-            columns = list(zip(*rows)) or [[]] * 5
-            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["token", "n", "channel", "reading", "chars"])
-
-    proposed = counts.repartition(tasks(spark, counts.count(), TASK_TOKENS)).mapInArrow(propose, "token string, n bigint, channel string, reading string, chars double")
+                    rows.append((token, n, channel, found[1], found[0] - own, own, found[2], None, 0, 0))
+                    keys, lo, hi, doubt = ends(lattice)
+                    rows += [(token, n, channel, None, None, own, 0, k, lo, hi) for k in keys if doubt]
+                beside = math.inf if tells(token) else BESIDE
+                rows += [(token, n, channel, r, beside, own, 0, None, 0, 0) for channel, r in one_byte(token)]
+                if _MARK in token:
+                    keys, lo, hi, _ = ends(lost_characters(token))
+                    rows += [(token, n, "lost", None, None, own, 0, k, lo, hi) for k in keys]
+            yield _batch(rows, _PROPOSED)
+
+    proposed = cut(counts.repartition(tasks(spark, counts.count(), TASK_TOKENS)).mapInArrow(propose, "token string, n bigint, channel string, reading string, chars double, own double, lost int, key string, lo int, hi int"))
     seen = counts.select(F.col("token").alias("reading"), F.col("n").alias("n_reading"))
-    weighed = proposed.join(seen, "reading", "left").withColumn("n_reading", F.coalesce("n_reading", F.lit(0)))
-    words = F.log((F.col("n_reading") + 1.0) / (F.col("n") + 1.0))
-    wide = F.col("channel").startswith("utf_8>")
-    gain = F.when(wide, F.col("chars") + F.greatest(F.lit(-6.0), F.least(F.lit(3.0), words))).otherwise(F.when(F.col("n_reading") >= 2, words))
-    byte = cut(weighed.select("token", "channel", "reading", gain.alias("gain")).where(F.col("gain") > 0))
+    weighed = proposed.where("reading is not null").join(seen, "reading", "left").select("token", "n", "channel", "reading", "chars", "own", "lost", F.coalesce("n_reading", F.lit(0)).alias("n_reading"))
+
+    # words of the corpus that a lattice with lost bytes also reads: looked up by the ends that all its paths share
+    asked = proposed.where("key is not null").select("token", "n", "channel", "own", "key", "lo", "hi")
+    used = asked.select("key").distinct()
+    words = counts.where(~F.col("token").contains(_MARK)).select(F.col("token").alias("reading"), F.col("n").alias("n_reading"), F.explode(_end_keys(F.col("token"))).alias("key")).join(used, "key", "left_semi")
+    near = asked.join(words, "key").where((F.length("reading") >= F.col("lo")) & (F.length("reading") <= F.col("hi"))).select("token", "n", "channel", "own", "reading", "n_reading")
 
-    mask = lambda c: F.regexp_replace(c, r"[^\x00-\x7f]+", _MARK)
-    damaged = counts.where(F.col("token").contains(_MARK)).select("token", mask(F.col("token")).alias("mask"))
-    sound = counts.where(~F.col("token").contains(_MARK)).join(byte, "token", "left_anti").groupBy(mask(F.col("token")).alias("mask")).agg(F.max(F.struct("n", "token")).alias("m"))
-    lost = damaged.join(sound, "mask", "left").select("token", F.lit("lost").alias("channel"), F.col("m.token").alias("reading"), F.lit(REPLACED).alias("gain"))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likely = likelihood(sent.value)
+        for b in batches:
+            rows = []
+            for token, n, channel, own, word, times in zip(*(c.to_pylist() for c in b.columns)):
+                lost = fits(_lattice_of(token, channel), word)
+                if lost is not None and word != token:
+                    score = sum(likely(c) for c in word if c >= "\x80") - LOST * lost - own
+                    rows.append((token, n, channel, word, score, own, lost, times))
+            yield _batch(rows, _FITTED)
+
+    fitted = cut(near.mapInArrow(fit, "token string, n bigint, channel string, reading string, chars double, own double, lost int, n_reading bigint"))
+    weighed = weighed.unionByName(fitted.where("channel != 'lost'"))
+    telling = F.log((F.col("n_reading") + 1.0) / (F.col("n") + 1.0))
+    wide = F.col("channel").startswith("utf_8>")
+    gain = F.when(wide, F.col("chars") + F.greatest(F.lit(WORD_LOW), F.least(F.lit(WORD_HIGH), telling))).otherwise(F.when(F.col("n_reading") >= 2, F.least(telling, F.col("chars"))))
+    # of a channel's readings: a word of two documents or more by its frequency, another by its characters, in both cases less what its lost bytes cost
+    spelled = F.col("chars") + F.col("own") - LETTER * (F.length("reading") - F.length(F.regexp_replace("reading", r"[\x00-\x7f]", "")))
+    score = F.when(F.col("n_reading") >= 2, F.log(F.col("n_reading") / F.lit(float(total))) - LOST * F.col("lost")).otherwise(spelled)
+    byte = weighed.select("token", "channel", "reading", gain.alias("gain"), score.alias("score")).where(F.col("gain") > 0)
+    byte = cut(byte.groupBy("token", "channel").agg(F.max("gain").alias("gain"), F.max(F.struct("score", "reading")).alias("m")).select("token", "channel", "m.reading", "gain"))
+
+    # marks: the commonest sound word that fits, if it is by far the commonest
+    sound = fitted.where("channel = 'lost'").join(byte.select(F.col("token").alias("reading")).distinct(), "reading", "left_anti")
+    sound = sound.groupBy("token").agg(F.max(F.struct("n_reading", "reading")).alias("m"), F.sum("n_reading").alias("all")).where(F.col("m.n_reading") >= F.col("all") * SURE)
+    marked = counts.where(F.col("token").contains(_MARK)).select("token")
+    lost = marked.join(sound, "token", "left").select("token", F.lit("lost").alias("channel"), F.col("m.reading").alias("reading"), F.lit(REPLACED).alias("gain"))
     return byte.unionByName(lost).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("gain", "channel", "reading")), asc=False).alias("choices"))
 
 
@@ -222,18 +430,26 @@ def garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Texts that, wholly or in part, show the result of decoding with the wrong encoding: ``key``, ``gain``, and ``spans`` (token number, reading or null where it can't be restored).
 
     The corpus is the language model. Its tokens with characters beyond ASCII (or character references) are counted once over all documents; each distinct
-    token is read through every channel (UTF-8 in eleven encodings, up to three times over, with lost bytes as wildcards; one-byte encodings
-    taken for each other), and a reading gains by the likelihood of its characters and by how many more documents have it as
-    a word than have the token. One-byte channels need the reading to be known in two documents. A replacement mark tells by itself; its
-    reading is the commonest word that differs only in such places. Over each text's doubtful tokens a Viterbi search takes the
+    token is read through every channel: UTF-8 in eleven encodings, up to three times over, as a lattice with lost bytes as wildcards, and one-byte
+    encodings taken for each other. A reading gains by the likelihood of its characters and by how many more documents have it as
+    a word than have the token. Of a lattice count the reading of likeliest characters (Viterbi, exact) and all words of the corpus that it reads, looked up by the ends that its paths may have, so
+    no reading that could be better is left out, but for words of lattices both of whose ends may be anything. One-byte channels need the reading to be known in two documents. A replacement mark tells by itself; its
+    reading is the word that fits, each mark being a character or a byte of one, if it has SURE of the occurrences of all that fit, and else null. Over each text's doubtful tokens a Viterbi search takes the
     best series of channels, where changing channel costs; a text is a case if the best series gains more than GAIN over reading it as it is.
 
-    Null and empty texts are no cases. Rows of equal key are one text here, so ``key`` should be unique; null keys are left out. What is shuffled are
-    distinct tokens and the doubtful ones; the only thing gathered is one number a code point.
+    Null and empty texts are no cases. Rows of equal key are one text here, so ``key`` should be unique; null keys are left out. Runs of any length are read whole, in linear time. What is shuffled are
+    distinct tokens and the places of odd ones, the commonest tokens' in SALTS parts; the only thing gathered is one number a code point and the fewer than HOT_PARTS commonest tokens.
     """
-    doubtful = cut(suspects(docs, text))
-    each = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.posexplode(_tokens(docs, text)).alias("pos", "token"))
-    spots = each.join(doubtful, "token").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("pos", "choices"))).alias("spots"))
+    some = _odd_texts(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__text")
+    counts = cut(some.select(F.explode(F.array_distinct(_tokens(F.col("__text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    doubtful = cut(suspects(counts, total))
+    hot = [r[0] for r in doubtful.join(counts, "token").where(F.col("n") * HOT_PARTS > total).select("token").collect()]
+    is_hot = F.col("token").isin(hot) if hot else F.lit(False)
+    each = some.where(F.col("__key").isNotNull()).select("__key", F.posexplode(_tokens(F.col("__text"))).alias("pos", "token"))
+    each = each.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("__key", "pos"), F.lit(SALTS)).cast("int")).otherwise(0))
+    dealt = doubtful.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    spots = each.join(dealt, ["token", "salt"]).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("pos", "choices"))).alias("spots"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,23 +471,19 @@ def restored(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``garbled``'s texts as restored: ``key``, ``text``, ``n_spans``, and ``whole``: whether every damaged token could be restored."""
     found = garbled(docs, key, text).select(F.col(key).alias("__key"), "spans")
     both = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(found, "__key")
-    pattern, odd = re.compile(PYTHON_TOKEN), re.compile(_ODD)
+    pattern = re.compile(PYTHON_TOKEN)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, whole = [], [], []
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 new = {s["pos"]: s["reading"] for s in spans}
-                at = -1
-
-                def swap(m: re.Match) -> str:
-                    nonlocal at
-                    if not odd.search(m.group()):
-                        return m.group()
-                    at += 1
-                    return new.get(at) or m.group()
-
-                texts.append(pattern.sub(swap, t))
+                parts, last = [], 0
+                for at, m in enumerate(pattern.finditer(t)):
+                    if new.get(at):
+                        parts += [t[last : m.start()], new[at]]
+                        last = m.end()
+                texts.append("".join([*parts, t[last:]]))
                 n.append(len(new))
                 whole.append(all(new.values()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(whole, pa.bool_())], [key, "text", "n_spans", "whole"])

@@ -219,9 +219,40 @@ def test_finds_and_restores(spark):
 
 
 def test_lattice():
-    likely = lambda s: float(len(s) < 5)
-    assert ("für", 0) in mojibake.readings("fÃ¼r", "cp1252", likely) and mojibake.readings("für", "cp1252", likely) == []
-    assert any(r == "”" for r, n in mojibake.readings("â€�", "cp1252", likely)) and ("à", 1) in mojibake.readings("Ã", "cp1252", likely)
+    likely = mojibake.likelihood({c: 5 for c in "üà”éШ"})
+    best = lambda t, enc="cp1252": (mojibake.likeliest(x, likely) if (x := mojibake.decoded(mojibake.plain(t), enc)) else None)
+    assert best("fÃ¼r")[1:] == ("für", 0) and best("für") is None
+    assert best("â€�")[1:] == ("”", 1) and best("Ã")[1:] == ("à", 1)
+    three = mojibake.decoded(mojibake.plain("xâ€�Ã�é-â€�"), "cp1252")
+    assert mojibake.fits(three, "x”Áé-”") == 3 and mojibake.fits(three, "x”Áé-") is None and mojibake.fits(three, "xâ€�Ã�é-â€�") is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["Ã", "¼", "©", "�", "â", "€", "x", "Ð", "й"]), min_size=1, max_size=7).map("".join), st.sampled_from(["cp1252", "latin-1", "cp1251"]), st.integers(1, 3))
+def test_likeliest_path_by_enumeration(text, encoding, depth):
+    likely = mojibake.likelihood({c: i + 1 for i, c in enumerate("éüàй”Ã©")})
+    lattice = mojibake.plain(text)
+    for _ in range(depth):
+        lattice = lattice and mojibake.decoded(lattice, encoding)
+    if lattice is None:
+        return
+    paths, done = [(0, "", 0, False)], []
+    while paths:
+        i, r, n, new = paths.pop()
+        if i == len(text):
+            done += [(sum(likely(c) for c in r if c >= "\x80") - mojibake.LOST * n, r)] * new
+            continue
+        paths += [(to, r + c, n + m, new or k) for to, c, m, k in lattice[i]]
+        if len(paths) + len(done) > 20_000:
+            return
+    found = mojibake.likeliest(lattice, likely)
+    assert (found is None) == (not done)
+    if done:
+        assert found[0] == pytest.approx(max(done)[0])
+        assert all(mojibake.fits(lattice, r) is not None for _, r in done[:50])
+        keys, least, most, _ = mojibake.ends(lattice)
+        ends = [(int(k[0]), *k[1:].split("\n")) for k in keys]
+        assert all(least <= len(r) <= most and (not ends or any(len(a) == n and r.startswith(a) and r.endswith(b) and len(a + b) <= len(r) for n, a, b in ends)) for _, r in done)
 
 
 def test_viterbi_prefers_one_channel():
@@ -234,6 +265,39 @@ def test_viterbi_prefers_one_channel():
 def test_long_runs_are_read_whole(spark):
     long = "漢" * 30_000 + " " + "&Atilde;&curren;" * 5_000 + " " + "1" * 100_000 + "A" * 30_000 + "&" * 3_000
     end = spoil(GOOD[0], "cp1252")
-    df = spark.createDataFrame([(i, GOOD[i % 5]) for i in range(40)] + [(99, long + " " + end)], "id long, text string")
+    df = spark.createDataFrame([(i, GOOD[i % 5]) for i in range(40)] + [(99, long + " " + end)] + [(k, "a" * k + "Ã©") for k in (198, 199, 200, 201, 399)], "id long, text string")
     back = {r.id: r.text for r in mojibake.restored(df, "id", "text").collect()}
-    assert list(back) == [99] and back[99].endswith(GOOD[0]) and len(back[99]) < len(long) + len(end)
+    assert set(back) == {99, 198, 199, 200, 201, 399} and back[99].endswith(GOOD[0]) and len(back[99]) < len(long) + len(end)
+    assert all(back[k] == "a" * k + "é" for k in back if k != 99)
+
+
+def test_words_that_do_not_fit_are_not_put_in(spark):
+    said = ["мир", "мир", "привет мир", "español", "über uber", "тест"] * 8
+    odd = {100: ("пр�вет мир", "привет мир"), 101: ("пр��ет", "привет"), 102: ("м�р�к �", "м�р�к �"), 103: ("espa��ol", "español"), 104: ("���� ���", "���� ���"), 105: ("пр\u0440\ufffd", "пр\u0440\ufffd")}
+    df = spark.createDataFrame(list(enumerate(said)) + [(k, v[0]) for k, v in odd.items()], "id long, text string")
+    back = {r.id: (r.text, r.whole) for r in mojibake.restored(df, "id", "text").collect()}
+    assert {k: v[0] for k, v in back.items()} == {k: v[1] for k, v in odd.items()}
+    assert [back[k][1] for k in sorted(back)] == [True, True, False, True, False, False]
+
+
+def test_several_lost_bytes_of_a_word(spark):
+    word = "сессия"
+    bad = "".join(bytes([b]).decode("cp1252", "replace") for b in word.encode())
+    assert bad.count("�") == 4
+    df = spark.createDataFrame([(i, f"наша {word} работает дома") for i in range(30)] + [(99, bad), (98, "ðŸ™‚ only here"), (97, "É°, Ø³ and x²y")], "id long, text string")
+    back = {r.id: r.text for r in mojibake.restored(df, "id", "text").collect()}
+    assert back[99] == word and back[98] == "🙂 only here" and 97 not in back
+
+
+def test_planted_damage_is_restored(spark):
+    import random
+
+    random.seed(3)
+    words = ["Größe", "schön", "für", "Änderung", "español", "añadida", "después", "été", "l’école", "naïve", "удалили", "проверок", "слиянием", "старый", "“done”", "isn’t", "café", "plain", "words", "here"]
+    texts = {i: " ".join(random.choices(words, k=12)) for i in range(400)}
+    ways = [lambda t: spoil(t, "cp1252"), lambda t: spoil(t, "latin-1"), lambda t: spoil(t, "mac_roman"), lambda t: spoil(t, "cp1252", 2), lambda t: spoil(t, "cp437"), lambda t: spoil(t, "cp1251"), lambda t: "".join(bytes([b]).decode("cp1252", "ignore") for b in t.encode())]
+    bad = {i: ways[i % len(ways)](texts[i]) for i in range(0, 400, 8)}
+    df = spark.createDataFrame(list((texts | bad).items()), "id long, text string")
+    back = {r.id: r.text for r in mojibake.restored(df, "id", "text").collect()}
+    assert set(back) == {i for i in bad if bad[i] != texts[i]}
+    assert sum(back[i] == texts[i] for i in back) >= 0.9 * len(back)
