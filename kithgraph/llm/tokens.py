@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import base64
-import math
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, partial
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.session import cut
+
 #: Where the vocabulary files are.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bytes of text in a block of documents that is put together in one task.
-BLOCK_BYTES = 4_000_000
+#: Characters of text in a pack of documents that share a list of distinct pre-tokens.
+PACK_CHARACTERS = 4_000_000
 
-#: White space as the tokenizer's pattern means it, and that pattern: contractions, letters, digits, other marks, spaces.
+#: White space as the tokenizer's pattern means it, and that pattern: contractions, letters, digits, other marks, spaces. (For Java
+#: letters and digits come first, which never start where a contraction does, and what can't give anything back doesn't try to.)
 _S = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+PRE_TOKEN = rf" ?\p{{L}}++| ?\p{{N}}++|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}\p{{L}}\p{{N}}]++|[{_S}]+(?![^{_S}])|[{_S}]+"
 _PYTHON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -38,7 +42,8 @@ def _encoder(path: str):
 
 def pre_tokens(text: Column) -> Column:
     """Array of the pieces that are encoded by themselves; together they are the text. A text with code points that this Java doesn't know is one piece, which the encoder splits."""
-    return F.when(text.rlike(r"\p{Cn}"), F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0)))
+    unknown = (F.octet_length(text) > F.length(text)) & text.rlike(r"\p{Cn}")
+    return F.when(unknown, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0)))
 
 
 def encode(docs: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -46,17 +51,16 @@ def encode(docs: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, v
 
     Null and empty texts give the empty array. Repeated rows are each encoded; other columns are dropped.
 
-    Each distinct pre-token of the corpus is encoded once. Documents are dealt to blocks of about BLOCK_BYTES; a block asks for its
-    distinct pre-tokens only, so what is shuffled is (block, pre-token), combined on the map side, and not every occurrence; the
-    ids come back to the blocks that asked, where each document's pre-tokens, still in their order, are replaced by ids. A pre-token
-    in every document is one row a block. Nothing is broadcast.
+    Each distinct pre-token of the corpus is encoded once. Texts are split once, where they are read, into packs of documents: a pack is the list of its
+    distinct pre-tokens and each document's pre-tokens in their order as compressed numbers in that list. Packs are cut; what is shuffled is (pack, distinct pre-token)
+    to the encoder and its ids back, and the packs' numbers, which are smaller than the texts. There each document's numbers are
+    replaced by ids. A pre-token in every document is one row a pack. Nothing is broadcast.
     """
     path = str(Path(tokenizers) / vocabulary)
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int").alias("block")
-    pieces = docs.select(block, F.col(key).alias("__key"), F.coalesce(pre_tokens(F.col(text)), F.array().cast("array<string>")).alias("pieces"))
-    asked = pieces.select("block", F.explode(F.array_distinct("pieces")).alias("piece")).distinct()
+    kind = docs.schema[key].dataType.simpleString()
+    pieces = docs.select(F.col(key).alias("__key"), F.coalesce(pre_tokens(F.col(text)), F.array().cast("array<string>")).alias("pieces"))
+    packs = cut(pieces.mapInArrow(partial(_packed, characters=PACK_CHARACTERS), f"keys array<{kind}>, sizes array<int>, codes binary, pieces array<string>")).withColumn("pack", F.monotonically_increasing_id())
+    asked = packs.select("pack", F.posexplode("pieces").alias("i", "piece"))
 
     def ids_of(batches):
         encoder = _encoder(path)
@@ -65,21 +69,38 @@ def encode(docs: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, v
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["piece", "ids"])
 
     encoded = asked.select("piece").distinct().mapInArrow(ids_of, "piece string, ids array<int>")
-    answers = asked.join(encoded, "piece").select(F.col("block").alias("__block"), "piece", "ids")
-
-    def put_together(texts: pa.Table, known: pa.Table) -> pa.Table:
-        lists = texts["pieces"].combine_chunks()
-        if not len(lists) or not known.num_rows:
-            ids = pa.array([[]] * len(lists), pa.list_(pa.int32()))
-            return pa.table({key: texts["__key"], "ids": ids})
-        at = pc.index_in(lists.flatten(), value_set=known["piece"].combine_chunks())
-        found = known["ids"].combine_chunks().take(at)
-        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        ends = found.offsets.to_numpy() - found.offsets[0].as_py()
-        return pa.table({key: texts["__key"], "ids": pa.ListArray.from_arrays(pa.array(ends[starts], pa.int32()), found.flatten())})
+    answers = asked.join(encoded, "piece").select(F.col("pack").alias("__pack"), "i", "ids")
 
-    kind = docs.schema[key].dataType.simpleString()
-    return pieces.groupBy("block").cogroup(answers.groupBy("__block")).applyInArrow(put_together, f"`{key}` {kind}, ids array<int>")
+    def put_together(own: pa.Table, known: pa.Table) -> pa.Table:
+        keys, sizes = own["keys"].combine_chunks().flatten(), own["sizes"].combine_chunks().flatten().to_numpy()
+        known = known.sort_by("i")
+        codes = np.frombuffer(pa.decompress(own["codes"][0].as_py(), decompressed_size=4 * int(sizes.sum()), codec="zstd"), np.int32) if sizes.sum() else np.zeros(0, np.int32)
+        found = known["ids"].combine_chunks().take(pa.array(codes)) if known.num_rows else pa.array([], pa.list_(pa.int32()))
+        ends = found.offsets.to_numpy() - found.offsets[0].as_py()
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        return pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(ends[starts], pa.int32()), found.flatten())})
+
+    numbers = packs.select("pack", "keys", "sizes", "codes")
+    return numbers.groupBy("pack").cogroup(answers.groupBy("__pack")).applyInArrow(put_together, f"`{key}` {kind}, ids array<int>")
+
+
+def _packed(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[pa.RecordBatch]:
+    """Documents as arrays of pieces to packs: keys, number of pieces of each, their numbers in order (compressed) and the distinct pieces."""
+    for batch in batches:
+        lists = batch.column(1)
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        size = np.concatenate([[0], np.cumsum(pc.utf8_length(flat).to_numpy(), dtype=np.int64)])[ends]
+        first = 0
+        while first < len(lists):
+            last = max(first + 1, int(np.searchsorted(size, size[first] + characters, "right")) - 1)
+            coded = flat.slice(ends[first], ends[last] - ends[first]).dictionary_encode()
+            codes = pa.compress(coded.indices.to_numpy().astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+            sizes = np.diff(ends[first : last + 1]).astype(np.int32)
+            row = [batch.column(0).slice(first, last - first), pa.array(sizes), coded.dictionary]
+            keys, sizes, words = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row)
+            yield pa.RecordBatch.from_arrays([keys, sizes, pa.array([codes], pa.binary()), words], ["keys", "sizes", "codes", "pieces"])
+            first = last
 
 
 def decode(encoded: DataFrame, ids: str, out: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

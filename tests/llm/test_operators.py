@@ -103,8 +103,8 @@ def test_nothing_to_encode(spark):
     assert tokens.encode(spark.createDataFrame([], "id long, t string"), "id", "t").count() == 0
 
 
-def test_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(tokens, "BLOCK_BYTES", 40)
+def test_many_packs(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "PACK_CHARACTERS", 40)
     texts = [f"word{i % 5} and number {i}" for i in range(60)]
     out = tokens.decode(encoded(spark, texts), "ids")
     assert {r.id: r.text for r in out.collect()} == dict(enumerate(texts))
