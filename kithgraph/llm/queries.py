@@ -35,8 +35,8 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The entries of the reference lists that locations and companies mean."""
     rows = table(spark, d, "account")
-    places = canonical.match(rows, "line_no", "location", table(spark, d, "ref_place"), "place_id", "name", canonical.PLACES, qualifiers=("country", "country_code"))
-    firms = canonical.match(rows, "line_no", "company", table(spark, d, "ref_company"), "company_id", "name", canonical.COMPANIES, alias="abbrev")
+    places = canonical.match(rows, "line_no", "location", table(spark, d, "ref_place"), "place_id", "name", qualifiers=("country", "country_code"))
+    firms = canonical.match(rows, "line_no", "company", table(spark, d, "ref_company"), "company_id", "name", alias="abbrev")
     return places.select("line_no", F.lit("location").alias("field"), "ref_id").unionAll(firms.select("line_no", F.lit("company").alias("field"), "ref_id"))
 
 

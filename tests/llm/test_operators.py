@@ -139,38 +139,71 @@ def test_automaton_by_brute_force(text, passage):
 
 
 # reference lists
-REF = [(1, "Saint Örebro", "Aland", "AL1"), (2, "Orebru Falls", "Bland", "BL2"), (3, "Twinton", "Aland", "AL1"), (4, "Twinton", "Bland", "BL2"), (5, None, "Bland", "BL2"), (None, "Nowhere", "Bland", "BL2")]
-
-
+REF = [(1, "Saint Örebro", "Aland", "AL1"), (2, "Orebru Falls", "Bland", "BL2"), (3, "Twinton", "Aland", "AL1"), (4, "Twinton", "Bland", "BL2"), (5, None, "Bland", "BL2"), (None, "Nowhere", "Bland", "BL2"), (6, "Saint Gorlav", "Aland", None), (7, "Saint Mukkel", "Aland", None), (8, "Saint Perrin", "Bland", None)]
 LONG = " ".join(f"w{i}" for i in range(20_000))
+HABITS = [f"{p} {n}" for p in ("living in", "near") for n in ("Saint Gorlav", "Saint Mukkel", "Saint Perrin", "Orebru Falls")] + ["St. Gorlav", "ST MUKKEL", "st Perrin"]
 
 
-def matched(spark, values, parts=20_000):
+@pytest.mark.parametrize("deletes", [4_000_000, 300])
+def test_places(spark, monkeypatch, deletes):
+    monkeypatch.setattr(canonical, "PART_DELETES", deletes)
+    want = {"saint orebro": 1, "St. Örebro, Aland": 1, "SAINT  OREBOR": 1, "living in Saint Orebro (AL1)": 1, "Saint Orebro / BL2": -1, "Aland, Twinton": 3, "Twinton - BL2": 4, "Twinton BL2": 4, "Twinton": 4, "Elsewhere": -1, "near orebru  falls!": 2}
+    want |= {"🌍": -1, "x" * 50_000: -1, LONG: -1, "beside Saint Gorlav": -1, "St Carolina": -1, "near": -1, "st": -1, "near st Perrrin": 8}
+    values = [*want, *HABITS, "  ", None, ""]
     df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(values)], "line long, v string, ref_id int")
     ref = spark.createDataFrame(REF, "id long, name string, country string, code string")
-    got = canonical.match(df, "line", "v", ref, "id", "name", canonical.PLACES, qualifiers=("country", "code"))
-    return {values[r.line]: r.ref_id for r in got.collect()}
-
-
-@pytest.mark.parametrize("entries", [20_000, 2])
-def test_places(spark, monkeypatch, entries):
-    monkeypatch.setattr(canonical, "ENTRIES", entries)
-    values = ["saint orebro", "St. Örebro, Aland", "SAINT  OREBOR", "living in Saint Orebro (AL1)", "Saint Orebro / BL2", "Aland, Twinton", "Twinton - BL2", "Twinton BL2", "Twinton", "Elsewhere", "near orebru  falls!", "  ", None, "", "🌍", "x" * 50_000, LONG]
-    got = matched(spark, values)
-    assert got == {"saint orebro": 1, "St. Örebro, Aland": 1, "SAINT  OREBOR": 1, "living in Saint Orebro (AL1)": 1, "Saint Orebro / BL2": -1, "Aland, Twinton": 3, "Twinton - BL2": 4, "Twinton BL2": 4, "Twinton": 4, "Elsewhere": -1, "near orebru  falls!": 2, "🌍": -1, "x" * 50_000: -1, LONG: -1}
+    got = {values[r.line]: r.ref_id for r in canonical.match(df, "line", "v", ref, "id", "name", qualifiers=("country", "code")).collect()}
+    assert {v: got[v] for v in want} == want and set(got) == {*want, *HABITS} and all(got[v] > 0 for v in HABITS)
 
 
 def test_companies(spark):
-    df = spark.createDataFrame(list(enumerate(["@acmedataworks, Inc.", "Engineer at Acme Data Wroks", "A.D.W.", "Fish and Chip GmbH", "acme school", "zeta sw (contract)"])), "line long, v string")
-    ref = spark.createDataFrame([(1, "Acme Data Works", "ADW"), (2, "Fish & Chip", None), (3, "Zeta Software", "ZS")], "id long, name string, short string")
-    got = canonical.match(df, "line", "v", ref, "id", "name", canonical.COMPANIES, alias="short")
-    assert {r.line: r.ref_id for r in got.collect()} == {0: 1, 1: 1, 2: 1, 3: 2, 4: -1, 5: 3}
-    assert {r.ref_id for r in canonical.match(df, "line", "v", ref.limit(0), "id", "name", canonical.COMPANIES).collect()} == {-1}
+    names = ["Acme Data Works", "Fish & Chip", "Zeta Software", "Bolt Software", "Oak Software", "Night & Day", "Salt & Pepper"]
+    habits = [f"{n}{p}" for n in names for p in (", Inc.", " GmbH")] + ["Bolt sw", "Oak SW", "zeta sw (inc)", "zeta sw", "Fish and Chip", "night and day", "salt and pepper"]
+    want = {"@acmedataworks, Inc.": 0, "Acme Data Wroks GmbH": 0, "A.D.W.": 0, "Fish and Chip GmbH": 1, "acme school": -1, "zeta sw inc": 2, "bolt sw and": -1}
+    values = [*want, *habits]
+    df = spark.createDataFrame(list(enumerate(values)), "line long, v string")
+    ref = spark.createDataFrame([(i, n, {0: "ADW", 2: "ZS"}.get(i)) for i, n in enumerate(names)], "id long, name string, short string")
+    got = {values[r.line]: r.ref_id for r in canonical.match(df, "line", "v", ref, "id", "name", alias="short").collect()}
+    assert {v: got[v] for v in want} == want and -1 not in [got[v] for v in habits]
+    assert {r.ref_id for r in canonical.match(df, "line", "v", ref.limit(0), "id", "name").collect()} == {-1}
+    assert canonical.match(df.limit(0), "line", "v", ref, "id", "name").count() == 0
+
+
+def test_habits_of_another_domain(spark):
+    titles = ["Senior Gardener", "Senior Welder", "Senior Baker", "Master Plumber", "Deputy Clerk"]
+    said = [f"{p} {t}" for t in titles for p in ("werde bald", "je suis")] + [f"{t} m w d" for t in titles] + ["Snr Gardener", "snr welder", "SNR baker"]
+    odd = {"je suis snr gardner m w d": 0, "werde bald Deputy Clrek": 4, "je suis": -1, "was Master Plumber": -1, "snr clerk": -1}
+    values = [*said, *odd]
+    df = spark.createDataFrame(list(enumerate(values)), "line long, v string")
+    ref = spark.createDataFrame(list(enumerate(titles)), "id long, name string")
+    got = {values[r.line]: r.ref_id for r in canonical.match(df, "line", "v", ref, "id", "name").collect()}
+    assert {v: got[v] for v in odd} == odd and all(titles[got[v]].split()[-1].lower() in v.lower() for v in said)
 
 
 def test_distance():
     assert canonical.distance("abcd", "abcd") == (0, 0) and canonical.distance("abcd", "abdc")[0] == 1 and canonical.distance("ca", "abc")[0] == 2 and canonical.distance("", "ab")[0] == 2
-    assert canonical.distance("abbc", "abc") == (1, canonical.DOUBLE) and canonical.distance("abxc", "abc") == (1, canonical.EDIT)
+    assert canonical.distance("abbc", "abc") == (1, canonical.DOUBLE) and canonical.distance("abxc", "abc") == (1, canonical.EDIT) and canonical.distance("abc", "xyz") is None
+
+
+def whole_table(a, b):
+    """Damerau-Levenshtein distance with any edits between swapped letters."""
+    last, d = {}, {(i, j): 99 for i in range(-1, len(a) + 1) for j in range(-1, len(b) + 1)}
+    d |= {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        match = 0
+        for j in range(1, len(b) + 1):
+            k, m = last.get(b[j - 1], 0), match
+            match = j if a[i - 1] == b[j - 1] else match
+            d[i, j] = min(d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1, d[k - 1, m - 1] + i - k + j - m - 1 if k and m else 99)
+        last[a[i - 1]] = i
+    return d[len(a), len(b)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc", max_size=8), st.text("abc", max_size=8))
+def test_distance_by_the_whole_table(a, b):
+    want, got = whole_table(a, b), canonical.distance(a, b)
+    assert (got[0] if got else None) == (want if want <= 2 else None)
 
 
 @settings(max_examples=100, deadline=None)
@@ -181,8 +214,18 @@ def test_two_edits_are_found(name, edits):
         i %= len(key)
         key = key[:i] + key[i + 1 :] if kind == "d" else key[:i] + c + key[i + (kind == "s") :]
     if canonical.reach(key) == 2:
-        found = canonical.Dictionary([(1, name, None, [])], canonical.Rules()).candidates(key)
-        assert [refs for _, _, refs in found] == [[1]]
+        found = canonical.Dictionary([(1, name, False, [], 0, 0)]).matches(key, False)
+        assert [e[0] for _, e in found] == [1]
+
+
+def test_a_large_dictionary_is_small(monkeypatch):
+    import random
+
+    random.seed(1)
+    names = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(8, 22))) for _ in range(2_000)]
+    index = canonical.Dictionary([(i, n, False, [], 0, 0) for i, n in enumerate(names)])
+    assert index.hashes.nbytes + index.of.nbytes <= 12 * sum(1 + len(n) + len(n) * (len(n) - 1) // 2 for n in names) < 12 * 300_000
+    assert all(any(e[0] == i for _, e in index.matches(n[:3] + n[4:], False)) for i, n in enumerate(names))
 
 
 # wrong encodings
