@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,72 +40,133 @@ def fuse(claims: DataFrame, rounds: int = 3, false_values: int = 10, copies: flo
     that it was copied (``copies``·P(dependent)); probabilities of a field's values follow from the votes, counting the values nobody
     claimed; A is the mean probability of a source's values. Two sources are dependent, with Bayes' rule from
     ``prior``, by what they share: shared values held false speak strongly for copying, shared true ones weakly, differing
-    ones against. Fields only one source speaks of can't tell and are left out of that comparison. At most SOURCES sources are allowed, since a
-    table of their pairs is broadcast; claims grow with the data and are only ever grouped by id and field, where there is at most one a source.
+    ones against. Fields only one source speaks of can't tell and are left out of that comparison.
+
+    Claims are grouped once, by id and field, where there is at most one a source, and kept as numbers of sources and values; a round reads these and
+    sends each task's sums for sources and pairs of sources that met, combined in the task. At most SOURCES sources are allowed (more are an error): the table of their
+    pairs, 4 bytes each, is broadcast.
     """
+    spark = claims.sparkSession
     good = claims.where(F.col("id").isNotNull() & F.col("field").isNotNull() & F.col("source").isNotNull() & has_text(F.col("value")))
-    latest = good.groupBy("id", "field", "source").agg(F.max(F.struct("at", "value")).alias("__m")).select("id", "field", "source", F.col("__m.value").alias("value"))
-    latest = cut(latest)
-    names = [r[0] for r in latest.select("source").distinct().limit(SOURCES + 1).collect()]
+    names = sorted(r[0] for r in good.select("source").distinct().limit(SOURCES + 1).collect())
     if len(names) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
-    spark = claims.sparkSession
-    accuracy = {s: 0.8 for s in names}
-    dependent: dict[str, float] = {}
-    slots = latest.groupBy("id", "field").agg(F.collect_list(F.struct("source", "value")).alias("claims"))
-    for k in range(rounds):
-        known = spark.createDataFrame([(accuracy, dependent)], "acc map<string,double>, dep map<string,double>")
-        votes = cut(_posterior(slots.crossJoin(F.broadcast(known)), false_values, copies))
-        if k == rounds - 1:
-            break
-        accuracy = {r[0]: min(0.99, max(0.01, r[1])) for r in votes.select(F.explode("votes").alias("v")).groupBy("v.source").agg(F.avg("v.p")).collect()}
-        dependent = _dependence(votes, accuracy, false_values, copies, prior)
-    best = F.array_max(F.transform("votes", lambda v: F.struct(v.p.alias("p"), v.value.alias("value"))))
-    least = F.array_min(F.transform(F.filter("votes", lambda v: v.p == F.col("__p")), lambda v: v.value))
-    return votes.withColumn("__p", best.p).select("id", "field", least.alias("value"), F.round("__p", 6).alias("probability"))
-
-
-def _posterior(slots: DataFrame, false_values: int, copies: float) -> DataFrame:
-    """``votes``: each claim's source and value with the probability of that value."""
-    a = lambda s: F.element_at("acc", s)
-    ranked = F.array_sort(F.transform("claims", lambda c: F.struct((-a(c.source)).alias("low"), c.source.alias("source"), c.value.alias("value"))))
-
-    def independent(c: Column, i: Column) -> Column:
-        before = F.filter(F.slice("ranked", F.lit(1), i), lambda o: o.value == c.value)
-        pair = lambda o: F.concat_ws("\u0001", F.least(o.source, c.source), F.greatest(o.source, c.source))
-        return F.aggregate(before, F.lit(1.0), lambda x, o: x * (1 - copies * F.coalesce(F.element_at("dep", pair(o)), F.lit(0.0))))
-
-    weighed = F.transform("ranked", lambda c, i: F.struct(c.source.alias("source"), c.value.alias("value"), (independent(c, i) * F.log(false_values * a(c.source) / (1 - a(c.source)))).alias("w")))
-    total = lambda c: F.aggregate(F.filter("weighed", lambda o: o.value == c.value), F.lit(0.0), lambda x, o: x + o.w)
-    scored = F.transform("weighed", lambda c: F.struct(c.source.alias("source"), c.value.alias("value"), total(c).alias("s")))
-    values = F.array_distinct(F.transform("scored", lambda c: F.struct(c.value.alias("value"), c.s.alias("s"))))
-    unsaid = F.greatest(F.lit(false_values + 1) - F.size("values"), F.lit(0)).cast("double")
-    top = F.greatest(F.array_max(F.transform("values", lambda v: v.s)), F.lit(0.0))
-    norm = F.aggregate("values", F.col("unsaid") * F.exp(-F.col("top")), lambda x, v: x + F.exp(v.s - F.col("top")))
-    out = slots.withColumn("ranked", ranked).withColumn("weighed", weighed).withColumn("scored", scored).withColumn("values", values)
-    out = out.withColumn("unsaid", unsaid).withColumn("top", top).withColumn("norm", norm)
-    return out.select("id", "field", F.transform("scored", lambda c: F.struct(c.source.alias("source"), c.value.alias("value"), (F.exp(c.s - F.col("top")) / F.col("norm")).alias("p"))).alias("votes"))
-
-
-def _dependence(votes: DataFrame, accuracy: dict[str, float], false_values: int, copies: float, prior: float) -> dict[str, float]:
-    """Probability that two sources depend on each other, by what they share; keyed by both names. At most SOURCES² / 2 entries."""
-    import math
-
-    best = F.array_max(F.transform("votes", lambda v: v.p))
-    ordered = votes.select(F.array_sort("votes").alias("v"), best.alias("best"))
-    pairs = ordered.select(F.posexplode("v").alias("i", "a"), "v", "best").select("a", "best", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b"))
-    same = F.col("a.value") == F.col("b.value")
-    truth = F.col("a.p") >= F.col("best")
-    counts = pairs.groupBy(F.col("a.source").alias("x"), F.col("b.source").alias("y")).agg(
-        F.count_if(same & truth).alias("t"), F.count_if(same & ~truth).alias("f"), F.count_if(~same).alias("d")
-    )
-    out = {}
-    for r in counts.collect():
-        a = (accuracy[r.x] + accuracy[r.y]) / 2
-        pt, pf = a * a, (1 - a) ** 2 / false_values
-        pd = max(1e-9, 1 - pt - pf)
-        alone = r.t * math.log(pt) + r.f * math.log(pf) + r.d * math.log(pd)
-        copied = r.t * math.log(a * copies + pt * (1 - copies)) + r.f * math.log((1 - a) * copies + pf * (1 - copies)) + r.d * math.log(pd * (1 - copies))
-        gap = max(-500.0, min(500.0, alone - copied))
-        out["\u0001".join(sorted((r.x, r.y)))] = 1 / (1 + (1 - prior) / prior * math.exp(gap))
-    return out
+    n = max(1, len(names))
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(names)), "__s int, source string"))
+    latest = good.join(numbers, "source").groupBy("id", "field", "__s").agg(F.max(F.struct("at", "value")).alias("__m"))
+    slots = latest.groupBy("id", "field").agg(F.sort_array(F.collect_list(F.struct("__m.value", "__s"))).alias("__c"))
+    values = F.array_distinct("__c.value")
+    slots = cut(slots.select("id", "field", F.col("__c.__s").alias("sources"), F.transform("__c.value", lambda v: F.array_position(values, v).cast("int") - 1).alias("codes"), values.alias("values")))
+    accuracy, dependent = np.full(n, 0.8), np.zeros((n, n), np.float32)
+    for _ in range(rounds - 1):
+        sent = spark.sparkContext.broadcast((accuracy, dependent))
+        sums = slots.select("sources", "codes").mapInArrow(_round(sent, false_values, copies), "pair long, t double, f long, d long")
+        told = sums.groupBy("pair").agg(F.sum("t").alias("t"), F.sum("f").alias("f"), F.sum("d").alias("d")).toPandas()
+        own, both = told[told["pair"] < 0], told[told["pair"] >= 0]
+        accuracy = accuracy.copy()
+        accuracy[-1 - own["pair"].to_numpy()] = np.clip(own["t"] / own["f"], 0.01, 0.99)
+        x, y = divmod(both["pair"].to_numpy(), n)
+        dependent = np.zeros((n, n), np.float32)
+        dependent[x, y] = dependent[y, x] = _dependence((accuracy[x] + accuracy[y]) / 2, both["t"].to_numpy(), both["f"].to_numpy(), both["d"].to_numpy(), false_values, copies, prior)
+    sent = spark.sparkContext.broadcast((accuracy, dependent))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            votes = Votes(b.column(2), b.column(3), *known, false_values, copies)
+            code, probability = votes.best()
+            texts = b.column(4)
+            at = pa.array(texts.offsets.to_numpy()[:-1] - texts.offsets[0].as_py() + code)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts.flatten().take(at), pa.array(np.round(probability, 6))], ["id", "field", "value", "probability"])
+
+    kinds = dict(claims.dtypes)
+    return slots.mapInArrow(last, f"id {kinds['id']}, field {kinds['field']}, value string, probability double")
+
+
+class Votes:
+    """The claims of a batch of slots (lists of source numbers and value numbers), and the probabilities of their values."""
+
+    def __init__(self, sources: pa.ListArray, codes: pa.ListArray, accuracy: np.ndarray, dependent: np.ndarray, false_values: int, copies: float) -> None:
+        sizes = np.diff(sources.offsets.to_numpy())
+        slot, source, code = np.repeat(np.arange(len(sizes)), sizes), sources.flatten().to_numpy(), codes.flatten().to_numpy()
+        order = np.lexsort((source, -accuracy[source], code, slot))
+        self.slot, self.source, self.code, self.slots = slot[order], source[order], code[order], len(sizes)
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(self.slot) != 0) | (np.diff(self.code) != 0)
+        self.value = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        alone = np.ones(len(order))
+        for i, before in _earlier(self.value):
+            alone[i] *= 1 - copies * dependent[self.source[before], self.source[i]]
+        a = accuracy[self.source]
+        score = np.bincount(self.value, alone * np.log(false_values * a / (1 - a)), len(self.first))
+        self.of = self.slot[self.first]
+        top = np.zeros(self.slots)
+        np.maximum.at(top, self.of, score)
+        unsaid = np.maximum(false_values + 1 - np.bincount(self.of, minlength=self.slots), 0)
+        share = np.exp(score - top[self.of])
+        self.p = share / (np.bincount(self.of, share, self.slots) + unsaid * np.exp(-top))[self.of]
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each slot the most probable value's number, the least on ties, and its probability."""
+        order = np.lexsort((self.code[self.first], -self.p, self.of))
+        head = order[np.flatnonzero(np.diff(self.of[order], prepend=-1))]
+        return self.code[self.first][head], self.p[head]
+
+    def pairs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pairs of sources that speak of the same slot, and for each 0 if they share a value held true, 1 if one held false, 2 if they differ."""
+        top = np.zeros(self.slots)
+        np.maximum.at(top, self.of, self.p)
+        true = (self.p >= top[self.of])[self.value]
+        codes, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+        for i, before in _earlier(self.slot):
+            x, y = self.source[i].astype(np.int64), self.source[before]
+            codes.append(np.minimum(x, y) * n + np.maximum(x, y))
+            kinds.append(np.where(self.value[i] != self.value[before], 2, np.where(true[i], 0, 1)).astype(np.int8))
+        return np.concatenate(codes), np.concatenate(kinds)
+
+
+def _earlier(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of ``group`` (sorted) and the place so many before each, for every distance at which both are in the same group."""
+    first = np.flatnonzero(np.diff(group, prepend=group[:1] - 1)) if len(group) else np.zeros(0, np.int64)
+    rank = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+    i, back = np.flatnonzero(rank > 0), 1
+    while len(i):
+        yield i, i - back
+        back += 1
+        i = i[rank[i] >= back]
+
+
+def _round(sent, false_values: int, copies: float):
+    """Sums of a task: for each source, as -1 less its number, of its values' probabilities (t) and their count (f); for each pair of sources how often they share a value held true (t), false (f), or differ (d)."""
+    schema = pa.schema([("pair", pa.int64()), ("t", pa.float64()), ("f", pa.int64()), ("d", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accuracy, dependent = sent.value
+        n = len(accuracy)
+        total, count = np.zeros(n), np.zeros(n, np.int64)
+        pairs, counts = np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
+        for b in batches:
+            votes = Votes(b.column(0), b.column(1), accuracy, dependent, false_values, copies)
+            total += np.bincount(votes.source, votes.p[votes.value], n)
+            count += np.bincount(votes.source, minlength=n)
+            codes, kinds = votes.pairs(n)
+            new, at = np.unique(np.concatenate([pairs, codes]), return_inverse=True)
+            more = np.zeros((len(new), 3), np.int64)
+            np.add.at(more, at[: len(pairs)], counts)
+            np.add.at(more, (at[len(pairs) :], kinds), 1)
+            pairs, counts = new, more
+        met = np.flatnonzero(count)
+        rows = [np.concatenate([-1 - met, pairs]), np.concatenate([total[met], counts[:, 0].astype(float)]), np.concatenate([count[met], counts[:, 1]]), np.concatenate([0 * met, counts[:, 2]])]
+        yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema)], schema=schema)
+
+    return run
+
+
+def _dependence(a: np.ndarray, t: np.ndarray, f: np.ndarray, d: np.ndarray, false_values: int, copies: float, prior: float) -> np.ndarray:
+    """Probability that two sources of mean accuracy ``a`` depend on each other, by how often they share a value held true, one held false, and differ."""
+    pt, pf = a * a, (1 - a) ** 2 / false_values
+    pd = np.maximum(1e-9, 1 - pt - pf)
+    alone = t * np.log(pt) + f * np.log(pf) + d * np.log(pd)
+    copied = t * np.log(a * copies + pt * (1 - copies)) + f * np.log((1 - a) * copies + pf * (1 - copies)) + d * np.log(pd * (1 - copies))
+    return 1 / (1 + (1 - prior) / prior * np.exp(np.clip(alone - copied, -500.0, 500.0)))

@@ -70,6 +70,29 @@ def test_fusion_discounts_copies(spark):
     assert survivors.fuse(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sources, cover", [(12, 0.5), (60, 0.3), (300, 0.1)])
+def test_planted_truth_is_found_among_copiers(spark, sources, cover):
+    """A third of the sources err seldom, a third often, and a third copy one that is mostly wrong; each speaks of a part of the ids."""
+    import random
+
+    random.seed(sources)
+    third, claims, plain = sources // 3, [], 0
+    for i in range(400):
+        truth = f"t{i}"
+        bad = truth if random.random() < 0.4 else f"w{i}"
+        said = {f"good{s}": truth if random.random() < 0.85 else f"g{i}-{s}-{random.randint(0, 9)}" for s in range(third) if random.random() < cover}
+        said |= {f"poor{s}": truth if random.random() < 0.6 else f"p{i}-{random.randint(0, 9)}" for s in range(third) if random.random() < cover}
+        said |= {f"copy{s}": bad if random.random() < 0.95 else f"c{i}-{random.randint(0, 9)}" for s in range(third) if random.random() < cover}
+        said["copy0"] = bad
+        claims += [(i, "f", v, s, 1) for s, v in said.items()]
+        counts = Counter(said.values())
+        plain += max(counts, key=counts.get) == truth
+    df = spark.createDataFrame(claims, "id long, field string, value string, source string, at long")
+    right = sum(r.value == f"t{r.id}" for r in survivors.fuse(df).collect())
+    print("right of 400: fusion", right, "majority", plain)
+    assert right >= 360 and right > plain
+
+
 def test_latest_claim_of_a_source_counts(spark, rows):
     df = spark.createDataFrame([(1, "f", "old", "s", 1), (1, "f", "new", "s", 2)], "id long, field string, value string, source string, at long")
     assert rows(survivors.fuse(df), "id", "field", "value") == [(1, "f", "new")]
