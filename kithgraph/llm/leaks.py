@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -14,55 +16,82 @@ from pyspark.sql import functions as F
 
 #: Consecutive words of a passage that make a leak.
 WORDS = 13
-#: Bytes of item text in one automaton; more items are searched for in several scans.
+#: Bytes of item text in one automaton; more items are searched for in several scans. A word takes about 100 bytes of a worker's memory, so such an automaton takes less than 200 MB.
 ITEM_BYTES = 8_000_000
+#: Windows of items that were met last and are kept at hand (about 200 bytes each).
+WINDOWS = 100_000
 #: Longest runs of letters or digits.
 _WORD = re.compile(r"[^\W_]+")
 _SPANS = "{key} {kind}, item_id bigint, start int, end int, n_words int, answer boolean"
 
 
 class Index:
-    """One automaton over every run of ``words`` consecutive words of the items, words being numbered."""
+    """One automaton over the items' passages and answers, words being numbered.
+
+    A passage is in it once, cut into blocks of half a leak's words: any run of ``words`` words of the passage holds a whole block, so every leak is met, and a
+    word takes one node. Where a block is met, the windows around it are compared with the item's.
+    """
 
     def __init__(self, items: list[tuple[int, str, str | None]], words: int) -> None:
-        self.words, self.number = words, {}
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        self.answers: dict[int, tuple[str, ...]] = {}
-        for item, passage, answer in items:
-            run = [self.number.setdefault(w, len(self.number) + 1) for w in spoken(passage)]
-            self.answers[item] = tuple(spoken(answer or ""))
-            for i in range(len(run) - words + 1):
-                owners[tuple(run[i : i + words])].add(item)
+        self.words, self.block, self.number = words, (words + 1) // 2, {}
+        self.passages: dict[int, array] = {}
+        self.of: list[int] = []
+        self._windows: dict[int, set[bytes]] = {}
+        self._kept = 0
+        blocks: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        answers: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        number = lambda text: array("I", [self.number.setdefault(w, len(self.number) + 1) for w in spoken(text)])
+        for k, (item, passage, answer) in enumerate(items):
+            self.of.append(item)
+            run = self.passages[k] = number(passage)
+            for i in range(0, len(run) - self.block + 1 if len(run) >= words else 0, self.block):
+                blocks[tuple(run[i : i + self.block])].add(k)
+            if answer and (said := tuple(number(answer))):
+                answers[said].add(k)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, ids in owners.items():
-            self.automaton.add_word(key, tuple(sorted(ids)))
-        self.empty = not owners
-        if owners:
+        self.empty = not blocks
+        for key in blocks.keys() | answers.keys():
+            self.automaton.add_word(key, (tuple(sorted(blocks.get(key, ()))), tuple(sorted(answers.get(key, ())))))
+        if not self.empty:
             self.automaton.make_automaton()
 
+    def windows(self, k: int) -> set[bytes]:
+        """All runs of ``words`` words of a passage."""
+        if k not in self._windows:
+            run = self.passages[k]
+            if self._kept > WINDOWS:
+                self._windows, self._kept = {}, 0
+            self._windows[k] = {run[i : i + self.words].tobytes() for i in range(len(run) - self.words + 1)}
+            self._kept += len(self._windows[k])
+        return self._windows[k]
+
     def find(self, text: str) -> list[tuple[int, int, int, int, bool]]:
         """Item, start and end in code points of the text as it is, words matched, and whether the item's answer stands in the text too; one for each maximal run."""
-        found = _WORD.findall(text)
+        found = _WORD.findall(text.lower()) if text.isascii() else spoken(text)
         if len(found) < self.words or self.empty:
             return []
-        get = self.number.get
-        seen = tuple(get(w.lower(), 0) for w in found)
-        runs: dict[int, list[list[int]]] = defaultdict(list)
-        for end, items in self.automaton.iter(seen):
-            for item in items:
-                own = runs[item]
-                if own and own[-1][1] == end - 1:
-                    own[-1][1] = end
-                else:
-                    own.append([end - self.words + 1, end])
-        if not runs:
+        seen = array("I", map(self.number.get, found, repeat(0)))
+        starts: dict[int, set[int]] = defaultdict(set)
+        answered: set[int] = set()
+        for end, (blocks, answers) in self.automaton.iter(tuple(seen)):
+            answered.update(answers)
+            for k in blocks:
+                starts[k].update(range(max(0, end - self.words + 1), min(end - self.block + 1, len(seen) - self.words) + 1))
+        if not starts:
             return []
-        spans = [m.span() for m in _WORD.finditer(text)]
-        flat = " ".join(["", *(w.lower() for w in found), ""])
-        out = []
-        for item, own in runs.items():
-            answer = bool(self.answers[item]) and f" {' '.join(self.answers[item])} " in flat
-            out += [(item, spans[a][0], spans[b][1], b - a + 1, answer) for a, b in own]
+        spans, out = None, []
+        for k, some in starts.items():
+            own = self.windows(k)
+            runs: list[list[int]] = []
+            for i in sorted(some):
+                if seen[i : i + self.words].tobytes() in own:
+                    if runs and runs[-1][1] == i - 1:
+                        runs[-1][1] = i
+                    else:
+                        runs.append([i, i])
+            if runs:
+                spans = spans or [m.span() for m in _WORD.finditer(text)]
+                out += [(self.of[k], spans[a][0], spans[b + self.words - 1][1], b - a + self.words, k in answered) for a, b in runs]
         return out
 
 
@@ -80,7 +109,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     Words are the longest runs of letters or digits, in lower case. Result: ``key``, ``item_id``, ``start`` and ``end`` (code points in the text
     as it is, end excluded), ``n_words``, and ``answer``: whether the item's answer stands anywhere in the text as whole words. Null and
     empty texts and passages with fewer words give nothing; null item ids are left out; repeated items count once, repeated
-    documents each. Documents aren't shuffled; each text is read once by one automaton. Items are broadcast up to ITEM_BYTES;
+    documents each. Documents aren't shuffled; each text is read once by one automaton over passages and answers. Items are broadcast up to ITEM_BYTES;
     more are dealt to several automata of about that size, each with a scan of its own, so no task holds them all.
     """
     spark = docs.sparkSession

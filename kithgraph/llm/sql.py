@@ -41,4 +41,14 @@ items AS (SELECT eval_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+')
 spans AS (SELECT DISTINCT eval_id, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT eval_id, w, unnest(range(1, len(w) - 11)) AS i FROM items WHERE len(w) >= 13)),
 grams AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13))
 SELECT DISTINCT doc_id, eval_id FROM grams JOIN spans USING (s)""",
+    "p9_spans": """WITH words AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w, regexp_split_to_array(text, '[\\p{L}\\p{N}]+') AS gaps FROM documents WHERE text IS NOT NULL),
+items AS (SELECT eval_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w, array_to_string(regexp_extract_all(lower(coalesce(answer, '')), '[\\p{L}\\p{N}]+'), ' ') AS said FROM eval_items WHERE eval_id IS NOT NULL),
+runs AS (SELECT DISTINCT eval_id, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT eval_id, w, unnest(range(1, len(w) - 11)) AS i FROM items WHERE len(w) >= 13)),
+grams AS (SELECT doc_id, i, lower(array_to_string(w[i:i + 12], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)),
+hits AS (SELECT doc_id, eval_id, i, i - row_number() OVER (PARTITION BY doc_id, eval_id ORDER BY i) AS island FROM grams JOIN runs USING (s)),
+found AS (SELECT doc_id, eval_id, min(i) AS a, max(i) + 12 AS b FROM hits GROUP BY doc_id, eval_id, island)
+SELECT doc_id, eval_id, CAST(len(array_to_string(gaps[1:a], '')) + len(array_to_string(words.w[1:a - 1], '')) AS INTEGER) AS start,
+  CAST(len(array_to_string(gaps[1:b], '')) + len(array_to_string(words.w[1:b], '')) AS INTEGER) AS "end", CAST(b - a + 1 AS INTEGER) AS n_words,
+  items.said <> '' AND contains(' ' || lower(array_to_string(words.w, ' ')) || ' ', ' ' || items.said || ' ') AS answer
+FROM found JOIN words USING (doc_id) JOIN items USING (eval_id)""",
 }

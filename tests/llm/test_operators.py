@@ -161,6 +161,33 @@ def test_automaton_by_brute_force(text, passage):
     assert bool(leaks.Index([(1, " ".join(passage), None)], 3).find(" ".join(text))) == hit
 
 
+def test_an_automaton_of_many_items_is_small():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import random, resource
+from kithgraph.llm import leaks
+random.seed(1)
+words = ["".join(random.choices("abcdefghijklmnop", k=random.randint(3, 8))) for _ in range(30_000)]
+items = [(i, " ".join(random.choices(words, k=120)), " ".join(random.choices(words, k=3))) for i in range(10_400)]
+size = sum(len(p) + len(a) for _, p, a in items)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+index = leaks.Index(items, 13)
+print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024)
+assert index.find("x " + " ".join(items[77][1].split()[50:64]))[0][::3] == (77, 14)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(leaks.__file__).resolve().parents[2], capture_output=True, text=True, check=True)
+    size, held = map(int, done.stdout.split())
+    assert size > 7_900_000 and held < 200_000_000
+
+
+def test_one_word_over_and_over():
+    index = leaks.Index([(1, "noise " * 20_000, "noise noise")], 13)
+    assert index.find("a " + "noise " * 20_000) == [(1, 2, 2 + 6 * 20_000 - 1, 20_000, True)]
+
+
 # reference lists
 REF = [(1, "Saint Örebro", "Aland", "AL1"), (2, "Orebru Falls", "Bland", "BL2"), (3, "Twinton", "Aland", "AL1"), (4, "Twinton", "Bland", "BL2"), (5, None, "Bland", "BL2"), (None, "Nowhere", "Bland", "BL2"), (6, "Saint Gorlav", "Aland", None), (7, "Saint Mukkel", "Aland", None), (8, "Saint Perrin", "Bland", None)]
 LONG = " ".join(f"w{i}" for i in range(20_000))
