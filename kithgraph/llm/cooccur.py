@@ -13,13 +13,18 @@ from kithgraph.operators.ordering import numbered
 from kithgraph.operators.skew import lookup_join
 from kithgraph.session import cut, tasks
 
-#: Codes that one task holds before it sorts them into a run (16 bytes each).
+#: Codes that one task holds before it sorts them into a run (16 bytes each, twice that while they are sorted).
 RUN_CODES = 1 << 21
+#: Items that a code has room for: 32 bits each of two, the first one's highest being the sign.
+MOST_ITEMS = 1 << 32
 _RUNS = "code bigint, n bigint"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Item-id lists with a weight to runs of pair codes, each run sorted and counted."""
+    """Sorted item-id lists with a weight to runs of pair codes, each run sorted and counted.
+
+    The codes of a batch are made for all lists at once, each item with the one so many places before it, distance by distance.
+    """
     codes: list[np.ndarray] = []
     weights: list[np.ndarray] = []
     held = 0
@@ -31,21 +36,27 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _counted(code[order], weight[order])
 
     for batch in batches:
-        for ids, weight in zip(batch.column(0), batch.column(1).to_pylist()):
-            ids = ids.values.to_numpy()
-            for i in range(len(ids) - 1):
-                codes.append((ids[i] << 32) | ids[i + 1 :])
-                weights.append(np.full(len(ids) - 1 - i, weight, np.int64))
-                held += len(ids) - 1 - i
-                if held >= RUN_CODES:
-                    yield run()
-                    codes, weights, held = [], [], 0
+        lists = batch.column(0)
+        sizes = np.diff(lists.offsets.to_numpy())
+        ids = lists.flatten().to_numpy()
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        weight = np.repeat(batch.column(1).to_numpy(), sizes)
+        at, back = np.flatnonzero(place > 0), 1
+        while len(at):
+            codes.append((ids[at - back] << 32) | ids[at])
+            weights.append(weight[at])
+            held += len(at)
+            if held >= RUN_CODES:
+                yield run()
+                codes, weights, held = [], [], 0
+            back += 1
+            at = at[place[at] >= back]
     yield run()
 
 
 def _counted(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Lengths of the runs of equal codes."""
-    first = np.flatnonzero(np.diff(code, prepend=code[:1] - 1)) if len(code) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(code[first]), pa.array(np.add.reduceat(n, first) if len(first) else n)], ["code", "n"])
 
 
@@ -71,7 +82,7 @@ def pair_counts(baskets: DataFrame, items: str, least: int = 1, part: int | None
     Equal records are counted once with a weight. A pair is one 64-bit code of two item numbers; each task sorts its codes in
     bounded runs and counts within a run before anything moves; the runs are then sorted externally by code (Spark spills
     and merges them) and run lengths counted in one pass. A pair in a third of all records thus reaches its task as one row a
-    run. An empty table gives an empty result.
+    run; the commonest items' rows are joined to their counts by broadcast. More than MOST_ITEMS items that are frequent enough are an error. An empty table gives an empty result.
     """
     spark = baskets.sparkSession
     clean = baskets.select(F.array_sort(F.array_distinct(F.filter(F.col(items), lambda x: x.isNotNull()))).alias("items")).where(F.size("items") > 0)
@@ -81,13 +92,15 @@ def pair_counts(baskets: DataFrame, items: str, least: int = 1, part: int | None
     each = sets.select("set_id", "weight", F.explode("items").alias("item"))
     counts = each.groupBy("item").agg(F.sum("weight").alias("n_item")).where(F.col("n_item") >= support)
     names = cut(numbered(counts, "item", name="item_id"))
+    if names.where(F.col("item_id") >= MOST_ITEMS).limit(1).count():
+        raise ValueError(f"more than {MOST_ITEMS} items")
     lists = lookup_join(each, names, "item").groupBy("set_id").agg(F.sort_array(F.collect_list("item_id")).alias("ids"), F.max("weight").alias("weight"))
     runs = cut(lists.where(F.size("ids") > 1).select("ids", "weight").mapInArrow(_pack, _RUNS))
     width = tasks(spark, runs.count(), RUN_CODES)
     pairs = runs.repartition(width, "code").sortWithinPartitions("code").mapInArrow(_merged, _RUNS).where(F.col("n") >= support)
     a, b = (names.select(F.col("item_id").alias(f"id_{x}"), F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}")) for x in "ab")
-    both = pairs.select(F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("id_b"), F.col("n").alias("n_ab"))
-    both = both.join(a, "id_a").join(b, "id_b").withColumn("n", F.lit(total).cast("bigint"))
+    both = cut(pairs.select(F.shiftrightunsigned("code", 32).alias("id_a"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("id_b"), F.col("n").alias("n_ab")))
+    both = lookup_join(lookup_join(both, a, "id_a"), b, "id_b").withColumn("n", F.lit(total).cast("bigint"))
     n11, n10, n01 = F.col("n_ab") + 0.5, F.col("n_a") - F.col("n_ab") + 0.5, F.col("n_b") - F.col("n_ab") + 0.5
     n00 = F.col("n") - F.col("n_a") - F.col("n_b") + F.col("n_ab") + 0.5
     return both.select(

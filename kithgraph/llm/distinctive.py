@@ -22,7 +22,7 @@ def term_scores(records: DataFrame, key: str, text: str, k1: float | None = 1.2,
     and those without terms count in N and in the average. All counts are algebraic; a term in most records is joined to its count by broadcast, so it is no
     group in one task.
     """
-    docs = records.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), words(F.col(text)).alias("__terms"))
+    docs = cut(records.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), words(F.col(text)).alias("__terms")))
     tf = cut(docs.select("__key", F.size("__terms").alias("__len"), F.explode("__terms").alias("term")).groupBy("__key", "__len", "term").agg(F.count(F.lit(1)).alias("tf")))
     n, average = docs.agg(F.count(F.lit(1)), F.avg(F.size("__terms"))).first()
     counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n_records")).where(F.col("n_records") >= min_records)

@@ -27,6 +27,26 @@ def test_pairs_by_brute_force(spark, rows, monkeypatch):
     assert all(r.n_ab * r.n >= 2 * r.n_a * r.n_b for r in cooccur.above_chance(cooccur.pair_counts(df, "items"), 2).collect())
 
 
+def test_codes_of_large_numbers_and_long_lists(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(cooccur, "RUN_CODES", 1_000)
+    top = (1 << 32) - 1
+    lists = [[0, 1, top - 1, top], [top], [], list(range(300)), [1, top]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64())), pa.array([1, 1, 1, 2, 5])], ["ids", "weight"])
+    want, got = Counter(), Counter()
+    for ids, w in zip(lists, (1, 1, 1, 2, 5)):
+        want.update({p: w for p in combinations(ids, 2)})
+    for run in cooccur._pack(iter([batch, batch.slice(3, 1), batch.slice(5)])):
+        code = run.column(0).to_numpy()
+        assert (np.diff(code) > 0).all() and len(code) < 1_400
+        for c, n in zip(code.view(np.uint64).tolist(), run.column(1).to_pylist()):
+            got[c >> 32, c & top] += n
+    want.update({p: 2 for p in combinations(range(300), 2)})
+    assert got == {p: n for p, n in want.items() if n}
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([(["a"],), (None,)], "items array<string>")
     assert cooccur.pair_counts(df, "items").count() == 0 and cooccur.pair_counts(df.limit(0), "items", 5, 200).count() == 0
