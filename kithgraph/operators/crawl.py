@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions import web
+from kithgraph.operators.ordering import numbered
+from kithgraph.operators.skew import lookup_join
 from kithgraph.session import cut
 
 #: Endpoints that may be visited unless said otherwise; fork_… decides for forks beside repository_….
@@ -57,13 +59,27 @@ def request_state(responses: DataFrame) -> DataFrame:
 
 
 def request_log(requests: DataFrame) -> DataFrame:
-    """Every request by endpoint in order of time: ``endpoint``, ``n``, first and last time, and the sets of parameters in order."""
-    return requests.groupBy("endpoint").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("time").alias("first_time"),
-        F.max("time").alias("last_time"),
-        F.transform(F.sort_array(F.collect_list(F.struct("time", "params"))), lambda x: x.params).alias("params"),
-    )
+    """Every request in order of time within its endpoint: ``endpoint``, ``position`` from 1, ``time``, ``params``. Requests are sorted by range, so a hot endpoint is spread over tasks."""
+    rows = numbered(requests.select("endpoint", "time", "params"), "endpoint", "time", "params")
+    first = rows.groupBy("endpoint").agg(F.min("n").alias("__first"))
+    return lookup_join(rows, first, "endpoint").select("endpoint", (F.col("n") - F.col("__first") + 1).alias("position"), "time", "params")
+
+
+def request_totals(requests: DataFrame) -> DataFrame:
+    """``endpoint``, ``n`` requests, first and last time; all algebraic."""
+    return requests.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+
+
+def dropped_items(items: DataFrame, order: str = "line_no") -> DataFrame:
+    """The items that ``first_items`` leaves out, for the log."""
+    return items.join(first_items(items, order).select(order), order, "left_anti")
+
+
+def limit_changes(responses: DataFrame) -> DataFrame:
+    """Responses (order, limit, remaining, reset) whose ``reset`` isn't that of the response before, the first included if it isn't 0. Responses are numbered by range and each is joined to the one before."""
+    rows = numbered(responses.select("order", "limit", "remaining", "reset"), "order")
+    before = rows.select((F.col("n") + 1).alias("n"), F.col("reset").alias("__before"))
+    return rows.join(before, "n", "left").where(F.col("reset") != F.coalesce("__before", F.lit(0))).select("order", "limit", "remaining", "reset")
 
 
 def first_items(items: DataFrame, order: str = "line_no") -> DataFrame:
@@ -94,7 +110,7 @@ def start_requests_with_items(log: DataFrame, endpoint: str, items: DataFrame, i
 def levels(edges: DataFrame, starts: DataFrame, max_depth: int = 0, priority: int = 1) -> DataFrame:
     """Breadth-first frontier: ``node``, ``depth`` (0 for the starts) and ``priority`` = -depth·``priority``, to ``max_depth`` (0: all that can be reached).
 
-    One join and one anti-join a level; each level's new nodes are cut from the plan. The edges (src, dst) are read once a level.
+    One join and one anti-join a level; each level's new nodes are cut from the plan and written once. The edges (src, dst) are read once a level.
     """
     frontier = cut(starts.select(F.col("node")).distinct())
     found, depth = frontier.withColumn("depth", F.lit(0)), 0
@@ -102,37 +118,10 @@ def levels(edges: DataFrame, starts: DataFrame, max_depth: int = 0, priority: in
         depth += 1
         ahead = edges.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = cut(ahead.join(found, "node", "left_anti"))
-        found = cut(found.unionAll(frontier.withColumn("depth", F.lit(depth))))
+        found = found.unionAll(frontier.withColumn("depth", F.lit(depth)))
     return found.withColumn("priority", -F.col("depth") * priority)
 
 
 def child_depth(parent: Column, continuation: Column) -> Column:
     """Depth of a request made by another: one more, but the same for a further page."""
     return parent + F.when(continuation, 0).otherwise(1)
-
-
-def accounts_of(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Response bodies that list accounts to one row each: the response's other columns and id, login, type. Bodies that are no list give none."""
-    schema = "array<struct<id:bigint,login:string,type:string>>"
-    return responses.select("*", F.inline(F.from_json(body, schema))).drop(body)
-
-
-def contributors_of(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Pages of a repository's contributors to relations: repo_id, user_id, contributions."""
-    schema = "array<struct<id:bigint,contributions:bigint>>"
-    return responses.select("repo_id", F.inline(F.from_json(body, schema))).select("repo_id", F.col("id").alias("user_id"), "contributions")
-
-
-def follows_of(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Pages of a user's followers to relations: follower, followee. (Pages of whom a user follows list only accounts: ``accounts_of``.)"""
-    return accounts_of(responses, body).select(F.col("id").alias("follower"), F.col("user_id").alias("followee"))
-
-
-def members_of(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Pages of an organisation's members to relations: org_id, user_id."""
-    return accounts_of(responses, body).select("org_id", F.col("id").alias("user_id"))
-
-
-def languages_of(responses: DataFrame, body: str = "body") -> DataFrame:
-    """A repository's languages to rows: repo_id, language, bytes."""
-    return responses.select("repo_id", F.explode(F.from_json(body, "map<string,bigint>")).alias("language", "bytes"))

@@ -49,8 +49,12 @@ def nodes_of(g: Graph, kind: str) -> DataFrame | None:
 
 
 def with_attributes(g: Graph, kind: str, entities: DataFrame, key: str = "id") -> DataFrame:
-    """Nodes of a class with the entities' columns; a node without entity keeps nulls."""
-    return nodes_of(g, kind).join(entities.withColumnRenamed(key, "id"), "id", "left")
+    """Nodes of a class with the entities' columns. Of a column that nodes have already the entity's value counts, be it null; a node without entity keeps what it has, or nulls."""
+    nodes, own = nodes_of(g, kind), entities.withColumnRenamed(key, "id").withColumn("__known", F.lit(True))
+    both = nodes.alias("a").join(own.alias("b"), F.col("a.id") == F.col("b.id"), "left")
+    new = [c for c in entities.columns if c != key]
+    value = lambda c: F.when(F.col("b.__known"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) if c in nodes.columns else F.col(f"b.{c}")
+    return both.select(F.col("a.id").alias("id"), *[F.col(f"a.{c}") for c in nodes.columns if c != "id" and c not in new], *[value(c).alias(c) for c in new])
 
 
 def degrees(g: Graph, weight: Column | None = None) -> DataFrame:

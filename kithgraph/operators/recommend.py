@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.operators import matrix, similarity
 from kithgraph.operators.ordering import best
+from kithgraph.operators.skew import in_blocks
 
 
 def ranked(scores: DataFrame, seen: DataFrame, n: int | None) -> DataFrame:
@@ -15,10 +16,14 @@ def ranked(scores: DataFrame, seen: DataFrame, n: int | None) -> DataFrame:
     return best(fresh, "user", [F.round("score", 9).desc(), F.col("item")], n)
 
 
+def grid(users: DataFrame, items: DataFrame) -> DataFrame:
+    """Every (user, item) of a stated set of users, which is broadcast in blocks of bounded size."""
+    return in_blocks(users.select("user"), "user", lambda some: items.select("item").crossJoin(F.broadcast(some)).select("user", "item"))
+
+
 def with_zeros(scores: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Every item for each of a stated set of ``users``, 0 where there is no score. The set is a query set, so users × items is what is asked."""
-    grid = items.select("item").crossJoin(F.broadcast(users.select("user")))
-    return grid.join(scores, ["user", "item"], "left").select("user", "item", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return grid(users, items).join(scores, ["user", "item"], "left").select("user", "item", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def user_cf(train: DataFrame, neighbours: int | None = None, n: int | None = 10) -> DataFrame:
@@ -36,20 +41,20 @@ def item_cf(train: DataFrame, neighbours: int | None = None, n: int | None = 10)
     return ranked(scores, seen(train), n)
 
 
-def user_cf_of(train: DataFrame, users: DataFrame) -> DataFrame:
-    """``user_cf`` with all neighbours and whole lists for a stated set of ``users`` (user), whose pairs alone are formed."""
+def user_cf_of(train: DataFrame, users: DataFrame, n: int | None = None) -> DataFrame:
+    """``user_cf`` with all neighbours, and whole lists by default, for a stated set of ``users`` (user), whose pairs alone are formed."""
     near = similarity.neighbours_of(train, users.select(F.col("user").alias("src"))).select(F.col("a").alias("user"), F.col("b").alias("src"), "sim")
     scores = near.join(train, "src").groupBy("user", F.col("dst").alias("item")).agg(F.sum("sim").alias("score"))
-    return ranked(scores, seen(train), None)
+    return ranked(scores, seen(train), n)
 
 
-def item_cf_of(train: DataFrame, users: DataFrame) -> DataFrame:
-    """``item_cf`` with all neighbours and whole lists for a stated set of ``users`` (user); only pairs of their items are formed."""
-    own = train.join(F.broadcast(users.select(F.col("user").alias("src"))), "src", "left_semi")
+def item_cf_of(train: DataFrame, users: DataFrame, n: int | None = None) -> DataFrame:
+    """``item_cf`` with all neighbours, and whole lists by default, for a stated set of ``users`` (user); only pairs of their items are formed."""
+    own = train.join(users.select(F.col("user").alias("src")), "src", "left_semi")
     flipped = train.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     near = similarity.neighbours_of(flipped, own.select(F.col("dst").alias("src")).distinct()).select(F.col("a").alias("dst"), F.col("b").alias("item"), "sim")
     scores = own.join(near, "dst").groupBy(F.col("src").alias("user"), "item").agg(F.sum("sim").alias("score"))
-    return ranked(scores, seen(train), None)
+    return ranked(scores, seen(train), n)
 
 
 def seen(train: DataFrame) -> DataFrame:
@@ -63,19 +68,18 @@ def content_based(train: DataFrame, features: DataFrame, side: str, users: DataF
     ``features`` are those of items ('target') or users ('source'); ``users`` (user) is the stated set of users, ``items`` (item) the universe.
     """
     m = train.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("w"))
-    asked = F.broadcast(users.select(F.col("user").alias("row")))
+    asked = users.select(F.col("user").alias("row"))
     # only the asked users' features are wanted, so their rows alone are multiplied; rows are normalised one by one
     if side == "target":
         source, target = similarity.bigraph_features(m.join(asked, "row", "left_semi"), features, side)
     else:
-        source, target = similarity.bigraph_features(m, features, side)
-        source = source.join(asked, "row", "left_semi")
+        source, target = similarity.bigraph_features(m, features, side, asked)
     scores = matrix.dot(source, target).select(F.col("a").alias("user"), F.col("b").alias("item"), F.col("sim").alias("score"))
     return ranked(with_zeros(scores, users, items), seen(train), n)
 
 
 def random_items(train: DataFrame, users: DataFrame, items: DataFrame, seed: int = 42, n: int | None = 10) -> DataFrame:
     """Unseen items in the order of a seeded hash; score 0."""
-    grid = items.select("item").crossJoin(F.broadcast(users.select("user"))).join(seen(train), ["user", "item"], "left_anti")
+    fresh = grid(users, items).join(seen(train), ["user", "item"], "left_anti")
     hashed: Column = F.md5(F.concat(F.lit(f"{seed}:"), F.col("user").cast("string"), F.lit(":"), F.col("item").cast("string")))
-    return best(grid.withColumn("score", F.lit(0.0)), "user", [hashed, F.col("item")], n)
+    return best(fresh.withColumn("score", F.lit(0.0)), "user", [hashed, F.col("item")], n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.operators import matrix
 from kithgraph.operators.ordering import best
-from kithgraph.operators.skew import lookup_join
+from kithgraph.operators.skew import in_blocks, lookup_join
 from kithgraph.session import cut
 
 #: A neighbour is hot if it has more than one part in so many of all edges; fewer than so many are, and each is a bit of a whole number.
@@ -132,27 +132,20 @@ def dense(queries: DataFrame, rows: DataFrame, key: str, vector: str, cosine: bo
 
     The queries are a stated set; they go to the rows in blocks of a few thousand, each block a bounded broadcast.
     """
-    block = 4_000
-    numbered = queries.select(F.col(key).alias("a"), F.col(vector).alias("x"))
-    n = numbered.count()
-    out = None
-    blocks = max(1, -(-n // block))
     own = rows.select(F.col(key).alias("b"), F.col(vector).alias("y"))
-    for i in range(blocks):
-        some = numbered.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == i)
-        both = own.crossJoin(F.broadcast(some))
-        product = array_dot(F.col("x"), F.col("y"))
-        norm = F.sqrt(array_dot(F.col("x"), F.col("x"))) * F.sqrt(array_dot(F.col("y"), F.col("y")))
-        sim = F.coalesce(F.try_divide(product, norm), F.lit(0.0)) if cosine else product
-        part = both.select("a", "b", sim.alias("sim"))
-        out = part if out is None else out.unionAll(part)
-    return out
-
-
-def bigraph_features(m: DataFrame, features: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-    """Features of both sides of a bipartite matrix, L2-normalised, from those of one: the other side gets the sum over its neighbours."""
+    product = array_dot(F.col("x"), F.col("y"))
+    norm = F.sqrt(array_dot(F.col("x"), F.col("x"))) * F.sqrt(array_dot(F.col("y"), F.col("y")))
+    sim = F.coalesce(F.try_divide(product, norm), F.lit(0.0)) if cosine else product
+    return in_blocks(queries.select(F.col(key).alias("a"), F.col(vector).alias("x")), "a", lambda some: own.crossJoin(F.broadcast(some)).select("a", "b", sim.alias("sim")))
+
+
+def bigraph_features(m: DataFrame, features: DataFrame, side: str, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Features of both sides of a bipartite matrix, L2-normalised, from those of one: the other side gets the sum over its neighbours.
+
+    With ``asked`` (row) only these source nodes' own features are in the result; rows are normalised one by one, so they are the same.
+    """
     if side == "source":
-        source, target = features, matrix.times(matrix.transpose(m), features)
+        source, target = features if asked is None else features.join(asked, "row", "left_semi"), matrix.times(matrix.transpose(m), features)
     elif side == "target":
         source, target = matrix.times(m, features), features
     else:

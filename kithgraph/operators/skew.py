@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,17 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return warm.join(some, key, how).unionByName(cold.join(right, key, how))
 
 
+#: Rows of a stated query set that are broadcast at once.
+BLOCK_ROWS = 4_000
+
+
+def in_blocks(asked: DataFrame, key: str, of: Callable[[DataFrame], DataFrame], rows: int = BLOCK_ROWS) -> DataFrame:
+    """The union of ``of`` each block of a stated query set, of about ``rows`` rows dealt by the hash of ``key``, so that a block may be broadcast however large the set."""
+    blocks = max(1, -(-asked.count() // rows))
+    parts = [of(asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) if blocks > 1 else asked) for i in range(blocks)]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def distinct_others(df: DataFrame, keys: Sequence[str], other: str, n: str = "n") -> DataFrame:
     """For each key, the number of distinct values of ``other``; rows with a null key or other are left out.
 

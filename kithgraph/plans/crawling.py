@@ -70,7 +70,36 @@ def dedup_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.request_log(_requests(spark, d)).select("endpoint", "n", "first_time", "last_time", F.array_join("params", "&").alias("params"))
+    return crawl.request_log(_requests(spark, d))
+
+
+def request_totals(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.request_totals(_requests(spark, d))
+
+
+def dropped_items(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.dropped_items(table(spark, d, "account")).select("line_no", "item", "id")
+
+
+def limit_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The limit's reset is the hour of the event's number."""
+    headers = _headers(spark, d).select(F.col("event_id").alias("order"), web.rate_limit(F.lit("5000"), F.col("left"), (F.floor(F.col("event_id") / 37) * 3600).cast("string")).alias("r"))
+    return crawl.limit_changes(headers.select("order", "r.limit", "r.remaining", "r.reset"))
+
+
+def shutdown_filter(spark: SparkSession, d: str) -> DataFrame:
+    """While the crawl ends only further pages of what was begun are asked for."""
+    requests = table(spark, d, "events").select("event_id", F.lit(1).alias("depth"), (F.col("event_id") % 3 != 0).alias("visit"), (F.col("event_id") % 10 == 0).alias("start"), (F.col("event_id") % 2 == 0).alias("has_previous_page"))
+    return crawl.wanted(requests, shutting_down=True).select("event_id")
+
+
+def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Defaults for null, false, 0 and empty values; the logistic function; the time of the query."""
+    rows = table(spark, d, "account").select(
+        "line_no", web.falsy_to(F.col("company"), "string", "none").alias("company"), web.falsy_to(F.col("hireable"), "boolean", True).alias("hireable"),
+        web.falsy_to(F.col("followers"), "bigint", -1).alias("followers"), F.round(web.sigmoid(F.col("followers") / 1000.0), 9).alias("weight"), web.utc_now().rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z$").alias("timed"),
+    )
+    return rows
 
 
 def visited_pending(spark: SparkSession, d: str) -> DataFrame:
@@ -115,6 +144,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         expand_endpoint, parse_endpoint, paginated_url, parse_link_header, rate_limit, policy_filter, dedup_summaries, request_log, visited_pending, start_requests,
-        bfs_levels, bfs_levels_whole, depth_filter, unvisited_requests,
+        bfs_levels, bfs_levels_whole, depth_filter, unvisited_requests, request_totals, dropped_items, limit_changes, shutdown_filter, scalar_functions,
     )
 }

@@ -18,7 +18,14 @@ SQL = {
 WHERE full_name IS NOT NULL AND (NOT coalesce(fork, false) OR endpoint = 'repository_contributors')""",
     "dedup_summaries": """SELECT line_no, item, id FROM (SELECT *, row_number() OVER (PARTITION BY item, id ORDER BY line_no) AS n FROM account) WHERE n = 1 OR item NOT LIKE '%Summary' OR id IS NULL""",
     "request_log": """WITH r AS (SELECT ts, '/users/u' || user_id || '/' || lower(event_type) AS endpoint, 'page=' || json_extract_string(props, '$.k') AS params FROM events)
-SELECT endpoint, count(*) AS n, min(ts) AS first_time, max(ts) AS last_time, string_agg(params, '&' ORDER BY ts, params) AS params FROM r GROUP BY endpoint""",
+SELECT endpoint, row_number() OVER (PARTITION BY endpoint ORDER BY ts, params) AS position, ts AS time, params FROM r""",
+    "request_totals": "SELECT '/users/u' || user_id || '/' || lower(event_type) AS endpoint, count(*) AS n, min(ts) AS first_time, max(ts) AS last_time FROM events GROUP BY ALL",
+    "dropped_items": """SELECT line_no, item, id FROM (SELECT *, row_number() OVER (PARTITION BY item, id ORDER BY line_no) AS n FROM account WHERE item LIKE '%Summary' AND id IS NOT NULL) WHERE n > 1""",
+    "limit_changes": """SELECT event_id AS "order", 5000 AS "limit", k AS remaining, reset FROM (SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0) AS k, CAST(event_id // 37 * 3600 AS INT) AS reset,
+  lag(CAST(event_id // 37 * 3600 AS INT), 1, 0) OVER (ORDER BY event_id) AS before FROM events) WHERE reset <> before""",
+    "shutdown_filter": "SELECT event_id FROM events WHERE (event_id % 3 <> 0 OR event_id % 10 = 0) AND event_id % 2 = 0",
+    "scalar_functions": """SELECT line_no, CASE WHEN coalesce(company, '') = '' THEN 'none' ELSE company END AS company, true AS hireable, CASE WHEN coalesce(followers, 0) = 0 THEN -1 ELSE followers END AS followers,
+  round(1 / (1 + exp(-followers / 1000.0::DOUBLE)), 9) AS weight, true AS timed FROM account""",
     "visited_pending": f"WITH {_STATE} SELECT * FROM state",
     "start_requests": """WITH k AS (SELECT DISTINCT full_name FROM repository WHERE full_name IS NOT NULL)
 SELECT split_part(full_name, '/', 1) AS owner, substr(full_name, strpos(full_name, '/') + 1) AS repo, '/repos/' || full_name || '/languages' AS path, item_id

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kithgraph.operators import graph
 from kithgraph.operators.ordering import split_edges
 from kithgraph.session import cut
-from kithgraph.sources.jsonl import merge_entities
+from kithgraph.sources.jsonl import entity_rows, merge_entities
 from kithgraph.sources.tables import table
 
 #: The stated query set: ids divisible by this.
@@ -66,14 +66,14 @@ def latest_languages(spark: SparkSession, d: str) -> DataFrame:
     return last.select("repo_id", F.explode("v.languages").alias("language", "bytes"))
 
 
-def users_merged(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.struct(F.col("item") == "AccountSummary", F.col("line_no"))
-    return merge_entities(table(spark, d, "account").select("id", *USER_FIELDS, rank.alias("rank")), "id", F.col("rank")).drop("rank")
+def users_merged(spark: SparkSession, d: str, mode: str = "both") -> DataFrame:
+    rows = entity_rows(table(spark, d, "account"), "AccountSummary", mode)
+    return merge_entities(rows.select("id", *USER_FIELDS, "rank"), "id", F.col("rank")).drop("rank")
 
 
-def repos_merged(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.struct(F.col("item") == "RepositorySummary", F.col("line_no"))
-    return merge_entities(table(spark, d, "repository").select("id", *REPO_FIELDS, rank.alias("rank")), "id", F.col("rank")).drop("rank")
+def repos_merged(spark: SparkSession, d: str, mode: str = "both") -> DataFrame:
+    rows = entity_rows(table(spark, d, "repository"), "RepositorySummary", mode)
+    return merge_entities(rows.select("id", *REPO_FIELDS, "rank"), "id", F.col("rank")).drop("rank")
 
 
 class Holdout:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,19 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a local one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and all runs in one process (tests, notebooks) a local one is made. On a
+    cluster, whose executors don't share a disk, it is an error.
     """
     spark = df.sparkSession
     _checkpoint_dir(spark)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the checkpoint folder, for what is written and read again."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def shared_folder(configured: str | None, master: str) -> str:
+    """The configured checkpoint folder, or a new local one if there is none and the master is this process."""
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is not set, and a local folder won't do on {master}")
+    return tempfile.mkdtemp(prefix="kithgraph-checkpoint-")
+
+
 def _checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kithgraph-checkpoint-"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None), context.master))
 
 
 def tasks(spark: SparkSession, rows: int, per_task: int) -> int:

@@ -28,15 +28,21 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
 
 
 def write_json_graph(g: Graph, path: str) -> None:
-    """Write a graph as one node-link JSON document (an exchange format for graphs that one task can hold; Parquet is for all others). Links name nodes by position."""
+    """Write a graph as one node-link JSON document of one file, a node or link a line (an exchange format; Parquet is for large graphs). Links name nodes by position.
+
+    One task writes the lines as they come from an external sort; none holds the graph. Reading the document does hold it.
+    """
     nodes = numbered(g.nodes.select("type", "id"), "type", "id")
     ends = nodes.select(F.col("type").alias("__t"), F.col("id").alias("__i"), F.col("n").alias("__n"))
     find = lambda df, t, c, out: df.join(ends.where(F.col("__t") == t), F.col(c) == F.col("__i")).drop("__t", "__i").withColumnRenamed("__n", out)
     links = find(find(g.edges.select("src", "dst"), g.src_type, "src", "source"), g.dst_type, "dst", "target").select("source", "target")
-    parts = nodes.agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "type", "id"))), lambda x: F.struct(F.struct(x.type.alias("type"), x.id.alias("id")).alias("id"))).alias("nodes"))
-    parts = parts.crossJoin(links.agg(F.sort_array(F.collect_list(F.struct("source", "target"))).alias("links")))
-    whole = F.struct(F.lit(g.directed).alias("directed"), F.lit(False).alias("multigraph"), "nodes", "links")
-    parts.select(F.to_json(whole).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    links = numbered(links, "source", "target")
+    line = lambda part, c: F.struct(F.lit(part).alias("part"), F.col("n").alias("n"), F.concat(F.when(F.col("n") > 0, ",").otherwise(""), F.to_json(c)).alias("value"))
+    spark = nodes.sparkSession
+    frame = [(0, 0, f'{{"directed": {json.dumps(g.directed)}, "multigraph": false, "nodes": ['), (2, 0, '], "links": ['), (4, 0, "]}")]
+    lines = nodes.select(line(1, F.struct(F.struct("type", "id").alias("id"))).alias("l")).unionAll(links.select(line(3, F.struct("source", "target")).alias("l"))).select("l.*")
+    lines = lines.unionAll(spark.createDataFrame(frame, "part int, n bigint, value string"))
+    lines.repartition(1).sortWithinPartitions("part", "n").select("value").write.mode("overwrite").text(path)
 
 
 def read_json_graph(spark: SparkSession, path: str, src_type: str, dst_type: str) -> Graph:

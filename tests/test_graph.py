@@ -210,12 +210,7 @@ def test_policy_and_filters(spark, rows):
     assert rows(crawl.unvisited(r, spark.createDataFrame([("/a",), ("/b",)], "endpoint string")), "endpoint") == [("/b",), ("/c",)]
 
 
-def test_levels_and_bodies(spark, rows):
+def test_levels(spark, rows):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 9)], "src long, dst long")
     s = spark.createDataFrame([(1,)], "node long")
     assert rows(crawl.levels(e, s), "node", "depth") == [(1, 0), (2, 1), (3, 2), (4, 3)] and crawl.levels(e, s, 1).count() == 2
-    pages = spark.createDataFrame([(7, '[{"id":1,"login":"a","contributions":3},{"id":2}]'), (8, "no json"), (9, None)], "repo_id long, body string")
-    assert rows(crawl.contributors_of(pages)) == [(7, 1, 3), (7, 2, None)]
-    follows = pages.withColumnRenamed("repo_id", "user_id")
-    assert rows(crawl.follows_of(follows)) == [(1, 7), (2, 7)]
-    assert rows(crawl.languages_of(spark.createDataFrame([(7, '{"x":5}')], "repo_id long, body string"))) == [(7, "x", 5)]
