@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.operators.skew import dealt_join
+
 
 def row_sums(m: DataFrame) -> DataFrame:
     """``row`` and the sum of its entries."""
@@ -54,5 +56,7 @@ def standardised(df: DataFrame, columns: list[str], by: list[str] | None = None)
 
 
 def dot(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Inner products of the rows of two matrices over shared columns: ``a``, ``b``, ``sim``; pairs without a shared column are absent."""
-    return times(a, transpose(b)).select(F.col("row").alias("a"), F.col("col").alias("b"), F.col("w").alias("sim"))
+    """Inner products of the rows of two matrices over shared columns: ``a``, ``b``, ``sim``; pairs without a shared column are absent. A column of very many rows of ``b`` is dealt to several tasks."""
+    left = a.select(F.col("row").alias("a"), F.col("col").alias("__k"), F.col("w").alias("__a"))
+    right = b.select(F.col("row").alias("b"), F.col("col").alias("__k"), F.col("w").alias("__b"))
+    return dealt_join(left, right, "__k").groupBy("a", "b").agg(F.sum(F.col("__a") * F.col("__b")).alias("sim"))

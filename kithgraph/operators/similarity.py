@@ -8,12 +8,38 @@ from pyspark.sql import functions as F
 from kithgraph.operators import matrix
 from kithgraph.operators.ordering import best
 from kithgraph.operators.skew import in_blocks, lookup_join
-from kithgraph.session import cut
+from kithgraph.session import cut, tasks
 
 #: A neighbour is hot if it has more than one part in so many of all edges; fewer than so many are, and each is a bit of a whole number.
 HOT_BITS = 60
 
 
+#: Nodes of one neighbour that meet each other in one group, and pairs that one task forms.
+PAIR_ROWS, TASK_PAIRS = 2_000, 4_000_000
+
+
+def met(own: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a neighbour, once for each that they share: ``a`` < ``b`` with their sizes ``na``, ``nb``. ``own`` (src, dst, size) should be cut, it is read several times.
+
+    The nodes of a neighbour are dealt to blocks of about PAIR_ROWS, and every two blocks meet in a group of their own, so no group holds more than the square of that, however hot
+    the neighbour; groups are spread over as many tasks as the number of pairs asks for.
+    """
+    counts = cut(own.groupBy("dst").agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum(F.col("__n") * F.col("__n") / 2)).first()[0] or 0
+    parts = counts.where(F.col("__n") > PAIR_ROWS).select("dst", F.ceil(F.col("__n") / PAIR_ROWS).cast("int").alias("__parts"))
+    number = F.coalesce("__parts", F.lit(1))
+    dealt = (own.withColumn("__parts", F.lit(1)) if parts.isEmpty() else lookup_join(own, parts, "dst", "left")).withColumn("__own", F.pmod(F.xxhash64("src"), number).cast("int"))
+    width = max(own.sparkSession.sparkContext.defaultParallelism, tasks(own.sparkSession, int(total), TASK_PAIRS))
+    one = dealt.select("dst", F.col("__own").alias("__i"), F.explode(F.sequence("__own", number - 1)).alias("__j"), F.col("src").alias("__a"), F.col("size").alias("__na"))
+    two = dealt.select("dst", F.explode(F.sequence(F.lit(0), "__own")).alias("__i"), F.col("__own").alias("__j"), F.col("src").alias("__b"), F.col("size").alias("__nb"))
+    group = ["dst", "__i", "__j"]
+    both = one.repartition(width, *group).join(two.repartition(width, *group), group).where((F.col("__i") < F.col("__j")) & (F.col("__a") != F.col("__b")) | (F.col("__a") < F.col("__b")))
+    first = F.col("__a") < F.col("__b")
+    return both.select(
+        F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"), F.when(first, F.col("__na")).otherwise(F.col("__nb")).alias("na"), F.when(first, F.col("__nb")).otherwise(F.col("__na")).alias("nb")
+    )
+
+
 def set_classes(edges: DataFrame) -> DataFrame:
     """``src``, ``class_id`` (the least src with the very same set of dst), ``size`` of the set and ``members`` of the class.
 
@@ -34,11 +60,9 @@ def jaccard(edges: DataFrame, classes: DataFrame) -> DataFrame:
     ``set_classes`` this states all pairs of nodes. Weights of edges don't count; pairs without a shared neighbour are 0 and absent.
     """
     heads = classes.where(F.col("src") == F.col("class_id")).select("src", "size")
-    own = edges.select("src", "dst").join(heads.select("src"), "src", "left_semi")
-    pairs = own.select(F.col("src").alias("a"), "dst").join(own.select(F.col("src").alias("b"), "dst"), "dst").where(F.col("a") < F.col("b"))
-    both = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    sized = both.join(heads.select(F.col("src").alias("a"), F.col("size").alias("na")), "a").join(heads.select(F.col("src").alias("b"), F.col("size").alias("nb")), "b")
-    return sized.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("sim"))
+    own = cut(edges.select("src", "dst").join(heads, "src"))
+    both = met(own).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return both.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("sim"))
 
 
 def measure(pairs: DataFrame, classes: DataFrame, node: int) -> DataFrame:
@@ -69,7 +93,7 @@ def neighbours(edges: DataFrame, k: int | None) -> DataFrame:
     if k is None:
         return nearest(jaccard(edges, classes), classes, None)
     heads = classes.where("src = class_id").select("src", "size")
-    own = cut(edges.select("src", "dst").join(heads.select("src"), "src", "left_semi"))
+    own = cut(edges.select("src", "dst").join(heads, "src"))
     total = own.count()
     hot = [r[0] for r in own.groupBy("dst").count().where(F.col("count") * HOT_BITS > total).select("dst").orderBy("dst").collect()]
     bits = F.broadcast(own.sparkSession.createDataFrame([(d, 1 << i) for i, d in enumerate(hot)], own.select("dst", F.lit(1).cast("bigint").alias("bit")).schema))
@@ -78,9 +102,9 @@ def neighbours(edges: DataFrame, k: int | None) -> DataFrame:
     sim = lambda n: n / (F.col("na") + F.col("nb") - n)
     common = F.bit_count(F.col("pa").bitwiseAND(F.col("pb")))
 
-    cold = own.join(bits, "dst", "left_anti")
-    pairs = cold.select(F.col("src").alias("a"), "dst").join(cold.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    a, b = (sized.select(F.col("src").alias(x), F.col("size").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+    cold = cut(own.join(bits, "dst", "left_anti"))
+    pairs = met(cold).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    a, b = (sized.select(F.col("src").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
     pairs = pairs.join(a, "a").join(b, "b").select("a", "b", sim(F.col("n") + common).alias("sim"))
 
     groups = cut(sized.where("p != 0").groupBy("p", "size").agg(F.min("src").alias("least")))

@@ -33,6 +33,23 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return warm.join(some, key, how).unionByName(cold.join(right, key, how))
 
 
+#: Rows of a key beyond which its rows are dealt to several tasks where each of them meets many others.
+DEAL_ROWS = 100_000
+
+
+def dealt_join(few: DataFrame, many: DataFrame, key: str, rows: int = DEAL_ROWS) -> DataFrame:
+    """Inner join on ``key`` whose matches may be far more than the rows: a key with over ``rows`` rows in ``many`` is dealt to as many tasks as it needs, and its rows in ``few`` are sent to each of them.
+
+    The table of such keys has at most one row for ``rows`` rows of ``many``. The only column name in common must be ``key``.
+    """
+    parts = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("__parts")).where("__parts > 1")
+    number = F.coalesce("__parts", F.lit(1))
+    rest = [c for c in many.columns if c != key]
+    dealt = many.join(parts, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*rest), number).cast("int")).drop("__parts")
+    sent = few.join(parts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), number - 1))).drop("__parts")
+    return sent.join(dealt, [key, "__salt"]).drop("__salt")
+
+
 #: Rows of a stated query set that are broadcast at once.
 BLOCK_ROWS = 4_000
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.operators.skew import DEAL_ROWS, lookup_join
 from kithgraph.session import cut
 
 
@@ -14,19 +15,26 @@ def personal_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, max_s
     ``edges`` (src, dst) are directed and unweighted, ids of any type that tells nodes of different types apart. Each step spreads
     (1-alpha) of a node's mass evenly over its edges and gives alpha to the seed; a node without edges loses its mass. A seed whose greatest change is below
     ``epsilon`` stops with the values *before* that step, as the others do after ``max_steps``. Each step is one join on the node and one sum
-    that combines on the map side; stopped seeds leave the loop.
+    that combines on the map side; the edges of a node with over DEAL_ROWS are dealt to several tasks, each of which gets the seeds that are there; stopped seeds leave the loop.
     """
     share = edges.groupBy("src").agg(F.count(F.lit(1)).alias("__deg"))
-    links = cut(edges.join(share, "src").select(F.col("src").alias("node"), "dst", (1.0 / F.col("__deg")).alias("__p")))
+    parts = F.ceil(F.col("__deg") / DEAL_ROWS).cast("int")
+    degrees = share.select("src", (1.0 / F.col("__deg")).alias("__p"), parts.alias("__parts"))
+    links = lookup_join(edges, cut(degrees), "src")
+    links = cut(links.select(F.col("src").alias("node"), "dst", "__p", F.pmod(F.xxhash64("dst"), F.col("__parts")).cast("int").alias("__part")))
+    hot = cut(degrees.where("__parts > 1").select(F.col("src").alias("node"), "__parts"))
+    any_hot = not hot.isEmpty()
     live = seeds.select("seed", F.col("seed").alias("node"), F.lit(1.0).alias("x"))
     done = None
     for _ in range(max_steps):
-        live = cut(live)
-        spread = live.join(links, "node").groupBy("seed", F.col("dst").alias("node")).agg(((1 - alpha) * F.sum(F.col("x") * F.col("__p"))).alias("y"))
-        back = live.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(float(alpha)).alias("y"))
-        new = spread.unionAll(back).groupBy("seed", "node").agg(F.sum("y").alias("y"))
-        step = cut(live.join(new, ["seed", "node"], "full").select("seed", "node", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y")))
-        still = cut(step.groupBy("seed").agg(F.max(F.abs(F.col("y") - F.col("x"))).alias("d")).select("seed", (F.col("d") < epsilon).alias("stop")))
+        sent = live.withColumn("__part", F.lit(0))
+        if any_hot:
+            sent = live.join(hot, "node", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+        spread = sent.join(links, ["node", "__part"]).groupBy("seed", F.col("dst").alias("node")).agg(((1 - alpha) * F.sum(F.col("x") * F.col("__p"))).alias("y"), F.lit(0.0).alias("x"))
+        back = live.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(float(alpha)).alias("y"), F.lit(0.0).alias("x"))
+        old = live.select("seed", "node", F.lit(0.0).alias("y"), "x")
+        step = cut(spread.unionAll(back).unionAll(old).groupBy("seed", "node").agg(F.sum("x").alias("x"), F.sum("y").alias("y")))
+        still = cut(step.groupBy("seed").agg((F.max(F.abs(F.col("y") - F.col("x"))) < epsilon).alias("stop")))
         ended = step.join(still.where("stop"), "seed", "left_semi").where(F.col("x") != 0).select("seed", "node", "x")
         done = ended if done is None else done.unionAll(ended)
         live = step.join(still.where("not stop"), "seed", "left_semi").where(F.col("y") != 0).select("seed", "node", F.col("y").alias("x"))

@@ -105,3 +105,48 @@ def test_collaborative_filtering_with_all_neighbours(spark):
     assert {r.user: r.ap for r in catalog.QUERIES["average_precision_whole"](spark, FOLDER).collect()} == pytest.approx(ap, abs=2e-6)
     report = catalog.QUERIES["metric_report_whole"](spark, FOLDER).collect()
     assert {r.k for r in report} == {5, 10, 20} and report[0].map == pytest.approx(sum(ap.values()) / len(ap), abs=2e-6)
+
+
+def test_hot_neighbours_are_dealt_to_blocks(spark, rows, monkeypatch):
+    import random
+
+    from kithgraph.operators import matrix, similarity, skew, walk
+
+    random.seed(4)
+    pairs = sorted({(s, 0) for s in range(40) if random.random() < 0.8} | {(random.randrange(40), random.randrange(1, 9)) for _ in range(120)})
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    sets = {s: {d for t, d in pairs if t == s} for s, _ in pairs}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x & y}
+
+    def all_pairs():
+        classes = similarity.set_classes(edges)
+        return {(r.a, r.b): r.sim for r in similarity.jaccard(edges, classes).collect()}, {r.src: r.class_id for r in classes.collect()}
+
+    plain = all_pairs()
+    monkeypatch.setattr(similarity, "PAIR_ROWS", 3)
+    monkeypatch.setattr(similarity, "TASK_PAIRS", 50)
+    dealt = all_pairs()
+    assert plain == dealt
+    heads = set(dealt[1].values())
+    assert dealt[0] == {k: pytest.approx(v) for k, v in want.items() if set(k) <= heads}
+    near = similarity.neighbours(edges, 5)
+    best = {a: sorted(((-round(want.get((min(a, b), max(a, b)), 0), 9), b) for b in sets if b != a and (min(a, b), max(a, b)) in want))[:5] for a in sets}
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.a, []).append((-round(r.sim, 9), r.b))
+    assert {a: sorted(v) for a, v in got.items()} == {a: v for a, v in best.items() if v}
+
+    few = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "i int, k string")
+    many = spark.createDataFrame([("x" if j % 3 else "y", j) for j in range(50)] + [(None, 99)], "k string, j int")
+    expect = rows(few.join(many, "k"))
+    assert rows(skew.dealt_join(few, many, "k", rows=4)) == expect == rows(skew.dealt_join(few, many, "k"))
+    assert skew.dealt_join(few, many.limit(0), "k", 4).count() == 0
+
+    ways = spark.createDataFrame([(f"U{a}", f"R{b}") for a, b in pairs] + [(f"R{b}", f"U{a}") for a, b in pairs], "src string, dst string")
+    seeds = spark.createDataFrame([("U1",), ("U2",), ("nobody",)], "seed string")
+    ranks = lambda: [(a, b, round(x, 12)) for a, b, x in rows(walk.personal_rank(ways, seeds))]
+    whole = ranks()
+    monkeypatch.setattr(walk, "DEAL_ROWS", 4)
+    assert ranks() == whole
+    m = spark.createDataFrame([(s, d, 1.0 + s) for s, d in pairs], "row long, col long, w double")
+    assert rows(matrix.dot(m, m), "a", "b", "sim") == rows(matrix.times(m, matrix.transpose(m)), "row", "col", "w")
