@@ -14,8 +14,8 @@ from kithgraph.session import cut
 
 #: Nearest neighbours of collaborative filtering, length of a recommendation, ranks at which it is judged.
 NEIGHBOURS, LENGTH, CUTOFFS = 50, 20, [5, 10, 20]
-#: Steps of the random walk in the queries that have SQL, which is unrolled so far, and in the whole ones.
-STEPS, WHOLE_STEPS = 3, 10
+#: Steps of the random walk.
+STEPS = 10
 
 
 def language_share(spark: SparkSession, d: str) -> DataFrame:
@@ -152,12 +152,12 @@ def rec_followee(spark: SparkSession, d: str) -> DataFrame:
     return _content(spark, d, lambda m: _follow(spark, d, "followee"), "source")
 
 
-def _walk(h: R.Holdout, *others: graph.Graph, steps: int = STEPS) -> DataFrame:
+def _walk(h: R.Holdout, *others: graph.Graph) -> DataFrame:
     merged = graph.both_ways(graph.union(graph.graph(h.train, "User", "Repository"), *others))
     name = lambda t, i: F.concat(F.substring(t, 1, 1), F.col(i).cast("string"))
     links = merged.select(name("src_type", "src").alias("src"), name("dst_type", "dst").alias("dst"))
     seeds = h.some_users.select(F.concat(F.lit("U"), F.col("user").cast("string")).alias("seed"))
-    return walk.personal_rank(links, seeds, max_steps=steps)
+    return walk.personal_rank(links, seeds, max_steps=STEPS)
 
 
 def personal_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -180,22 +180,6 @@ def rec_random_walk_other_graph(spark: SparkSession, d: str) -> DataFrame:
     return _walk_recs(h, _walk(h, R.follow_graph(spark, d)))
 
 
-def personal_rank_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The walk to its own end, or to the operator's ten steps."""
-    return _walk(R.Holdout(spark, d), steps=WHOLE_STEPS).select("seed", "node", F.round("x", 6).alias("x"))
-
-
-def rec_random_walk_whole(spark: SparkSession, d: str) -> DataFrame:
-    h = R.Holdout(spark, d)
-    return _walk_recs(h, _walk(h, steps=WHOLE_STEPS))
-
-
-def rec_random_walk_other_graph_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The walk also follows who follows whom."""
-    h = R.Holdout(spark, d)
-    return _walk_recs(h, _walk(h, R.follow_graph(spark, d), steps=WHOLE_STEPS))
-
-
 class _Judged:
     """Collaborative filtering on the split, with its frequencies; ``whole`` has all neighbours and whole lists of the query set's users instead of the capped ones of all."""
 
@@ -271,7 +255,7 @@ QUERIES = {
         edge_features_user, edge_features_repository, edge_features_language, edge_features_similarity, edge_features_combined, rec_user_cf, rec_item_cf, rec_random, rec_language,
         rec_description, rec_quasi_user, rec_quasi_item, rec_follower, rec_followee, personal_rank, rec_random_walk, rec_random_walk_other_graph, frequencies, precision_recall,
         pr_curve, roc_curve, average_precision, mean_average_precision, roc_auc, metric_report,
-        personal_rank_whole, rec_random_walk_whole, rec_random_walk_other_graph_whole, rec_user_cf_whole, rec_item_cf_whole,
+        rec_user_cf_whole, rec_item_cf_whole,
     )
 }
 JUDGED = (frequencies, precision_recall, pr_curve, roc_curve, average_precision, mean_average_precision, roc_auc, metric_report)

@@ -3,6 +3,7 @@
 from kithgraph.operators.edge_features import REPOSITORY_KEYS, USER_KEYS
 from kithgraph.operators.features import STOP_WORDS
 from kithgraph.plans.graphs_sql import SQL as GRAPHS
+from kithgraph.plans.recommenders import STEPS
 from kithgraph.plans.relations import CONTRIBUTOR, FOLLOW, LATEST, QUERY_IDS, REPOS_MERGED, SPLIT, USERS_MERGED
 
 _LANGUAGES = f"{LATEST}, language_features AS (SELECT repo_id AS row, language AS col, CAST(bytes AS DOUBLE) AS w FROM language_bytes WHERE bytes > 0)"
@@ -66,11 +67,11 @@ _USER_CF = f"""{SPLIT}, {_neighbours('"user"', 'item')}, recs AS ({_top(f'SELECT
 
 def _walk(more: str) -> str:
     steps = "".join(
-        f""", y{k} AS (SELECT seed, node, sum(y) AS y FROM (SELECT seed, l.dst AS node, 0.85::DOUBLE * sum(x * p) AS y FROM x{k - 1} x JOIN links l ON l.src = x.node GROUP BY ALL
+        f""", y{k} AS MATERIALIZED (SELECT seed, node, sum(y) AS y FROM (SELECT seed, l.dst AS node, 0.85::DOUBLE * sum(x * p) AS y FROM x{k - 1} x JOIN links l ON l.src = x.node GROUP BY ALL
   UNION ALL SELECT DISTINCT seed, seed, 0.15::DOUBLE FROM x{k - 1}) GROUP BY ALL),
-s{k} AS (SELECT seed, node, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM x{k - 1} FULL JOIN y{k} USING (seed, node)),
-x{k} AS (SELECT seed, node, CASE WHEN stop THEN x ELSE y END AS x FROM s{k} JOIN (SELECT seed, max(abs(y - x)) < 0.01 AS stop FROM s{k} GROUP BY seed) USING (seed) WHERE CASE WHEN stop THEN x ELSE y END <> 0)"""
-        for k in (1, 2, 3)
+s{k} AS MATERIALIZED (SELECT seed, node, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM x{k - 1} FULL JOIN y{k} USING (seed, node)),
+x{k} AS MATERIALIZED (SELECT seed, node, CASE WHEN stop THEN x ELSE y END AS x FROM s{k} JOIN (SELECT seed, max(abs(y - x)) < 0.01 AS stop FROM s{k} GROUP BY seed) USING (seed) WHERE CASE WHEN stop THEN x ELSE y END <> 0)"""
+        for k in range(1, STEPS + 1)
     )
     return f"""{SPLIT}, {FOLLOW}, pairs AS (SELECT 'U' || "user" AS u, 'R' || item AS v FROM train {more}),
 ways AS (SELECT u AS src, v AS dst FROM pairs UNION SELECT v, u FROM pairs), links AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS p FROM ways), {_TOP},
@@ -81,7 +82,7 @@ _FOLLOWING = "UNION SELECT 'U' || src, 'U' || dst FROM follow_edges"
 
 
 def _walk_recs(more: str) -> str:
-    return f"""WITH {_walk(more)}, scores AS (SELECT CAST(substr(seed, 2) AS BIGINT) AS "user", CAST(substr(node, 2) AS BIGINT) AS item, x AS score FROM x3 WHERE node LIKE 'R%')
+    return f"""WITH {_walk(more)}, scores AS (SELECT CAST(substr(seed, 2) AS BIGINT) AS "user", CAST(substr(node, 2) AS BIGINT) AS item, x AS score FROM x{STEPS} WHERE node LIKE 'R%')
 {_top('SELECT "user", item, coalesce(score, 0) AS score FROM grid LEFT JOIN scores USING ("user", item)', 10)}"""
 
 
@@ -133,7 +134,7 @@ SELECT src, dst, {_standard(('sim_src', 'sim_dst'))} FROM both_sims""",
     "rec_quasi_item": _content("mt AS (SELECT col AS row, row AS col, w FROM m), ", "mt", "target"),
     "rec_follower": _content(f"{FOLLOW}, ff AS (SELECT dst AS row, src AS col, 1.0::DOUBLE AS w FROM follow_edges WHERE dst IN (SELECT \"user\" FROM users)), ", "ff", "source"),
     "rec_followee": _content(f"{FOLLOW}, ff AS (SELECT src AS row, dst AS col, 1.0::DOUBLE AS w FROM follow_edges WHERE src IN (SELECT \"user\" FROM users)), ", "ff", "source"),
-    "personal_rank": f"WITH {_walk('')} SELECT seed, node, round(x, 6) AS x FROM x3",
+    "personal_rank": f"WITH {_walk('')} SELECT seed, node, round(x, 6) AS x FROM x{STEPS}",
     "rec_random_walk": _walk_recs(""),
     "rec_random_walk_other_graph": _walk_recs(_FOLLOWING),
     "frequencies": f'WITH {_FREQ} SELECT "user", k, tp, tn, fp, fn FROM freq',
@@ -145,3 +146,13 @@ SELECT src, dst, {_standard(('sim_src', 'sim_dst'))} FROM both_sims""",
     "roc_auc": f"WITH {_FREQ} SELECT round(auc, 6) AS auc FROM auc",
     "metric_report": f"WITH {_FREQ} SELECT k, {_RATES}, (SELECT round(avg(ap), 6) FROM ap) AS map, (SELECT round(auc, 6) FROM auc) AS auc FROM rates",
 }
+
+
+def _whole(sql: str) -> str:
+    """The same with all neighbours and whole lists, for the query set's users."""
+    asked = f'"user" % {QUERY_IDS} = 0'
+    sql = sql.replace(" WHERE r <= 50)", ")").replace(" WHERE rank <= 20", "").replace("""IN (SELECT "user" FROM test)),""", f"""IN (SELECT "user" FROM test) AND {asked}),""")
+    return sql.replace(_UNSEEN, f"{_UNSEEN} AND {asked}")
+
+
+SQL |= {f"{n}_whole": _whole(SQL[n]) for n in ("rec_user_cf", "rec_item_cf", "frequencies", "precision_recall", "pr_curve", "roc_curve", "average_precision", "mean_average_precision", "roc_auc", "metric_report")}
