@@ -156,3 +156,21 @@ def _whole(sql: str) -> str:
 
 
 SQL |= {f"{n}_whole": _whole(SQL[n]) for n in ("rec_user_cf", "rec_item_cf", "frequencies", "precision_recall", "pr_curve", "roc_curve", "average_precision", "mean_average_precision", "roc_auc", "metric_report")}
+
+
+def _family(name: str, features: str, side: str) -> str:
+    near = " UNION ALL ".join(
+        f"""SELECT 'U' || x.row AS "user", '{name}' AS family, '{letter}' || y.row AS node, round(sum(x.w * y.w), 6) AS sim FROM source x JOIN {other} y USING (col) WHERE x.row % {QUERY_IDS} = 0 GROUP BY x.row, y.row"""
+        for letter, other in (("U", "source"), ("R", "target"))
+    )
+    return f"SELECT * FROM (WITH {_sides(features, side)} {near})"
+
+
+_KNOWN = '(SELECT "user" FROM train)'
+_FAMILIES = {
+    "contributed repository": ("m", "source"), "contributor": ("mt", "target"), "language": ("language_features", "target"), "description": ("tfidf_features", "target"),
+    "follower": ("fr", "source"), "followee": ("fe", "source"),
+}
+SQL["supervised_similarities"] = f"""WITH {SPLIT}, {_M}, {_LANGUAGES}, {_TFIDF}, {FOLLOW}, mt AS (SELECT col AS row, row AS col, w FROM m),
+fr AS (SELECT dst AS row, src AS col, 1.0::DOUBLE AS w FROM follow_edges WHERE dst IN {_KNOWN}), fe AS (SELECT src AS row, dst AS col, 1.0::DOUBLE AS w FROM follow_edges WHERE src IN {_KNOWN})
+{' UNION ALL '.join(_family(name, *of) for name, of in _FAMILIES.items())}"""
