@@ -55,12 +55,15 @@ PERSON_PATHS = {f"{role}_{x}": f"commit.{role}.{x}" for role in ("author", "comm
 COMMIT_ROOTS = ("", "[]", "page.commits[]")
 
 
-def _raw(spark: SparkSession, d: str, columns: dict[str, str], repeated: dict[str, str] | None = None) -> DataFrame:
-    """Commits of ``commit_raw`` that have a repository and a sha."""
+def _raw(spark: SparkSession, d: str, columns: dict[str, str], repeated: tuple[str, ...] = ()) -> DataFrame:
+    """Commits of ``commit_raw`` that have a repository and a sha, as records with ``columns``."""
     columns = {"repo_id": "repo.id", "sha": "sha"} | columns
-    triples = shred.json_triples(table(spark, d, "commit_raw"), "line_no", "payload", COMMIT_ROOTS, [*columns.values(), *(repeated or {}).values()], {"repo.id": "repo.id"})
-    flat = shred.pivot_records(triples, columns, repeated)
-    flat = flat.withColumn("repo_id", F.expr("try_cast(repo_id as bigint)"))
+    records = shred.json_records(table(spark, d, "commit_raw"), "line_no", "payload", COMMIT_ROOTS, [*columns.values(), *repeated], {"repo.id": "repo.id"})
+    return _identified(shred.root_columns(records, columns))
+
+
+def _identified(records: DataFrame) -> DataFrame:
+    flat = records.withColumn("repo_id", F.expr("try_cast(repo_id as bigint)"))
     return flat.where(F.col("repo_id").isNotNull() & has_text(F.col("sha")))
 
 
@@ -75,9 +78,10 @@ def _typed_keys() -> dict:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The parent links of all commits, parsed or not."""
-    typed = shred.child_table(_typed(spark, d), _typed_keys(), "parents", {"parent_sha": "sha"})
-    raw = _raw(spark, d, {}, {"parents": "parents[].sha"}).select("repo_id", "sha", F.inline("parents").alias("pos", "parent_sha"))
-    return typed.unionByName(raw).where(F.col("parent_sha").isNotNull()).distinct()
+    own = {"repo_id": "repo.id", "sha": "sha"}
+    typed = _identified(shred.root_columns(shred.typed_records(table(spark, d, "commits"), F.col("line_no"), [*own.values(), "parents[].sha"]), own))
+    links = shred.group_table(typed.unionByName(_raw(spark, d, {}, ("parents[].sha",))), ["repo_id", "sha"], "parents[]", {"parent_sha": "parents[].sha"})
+    return links.select("repo_id", "sha", F.col("ordinals")[0].cast("bigint").alias("pos"), "parent_sha").distinct()
 
 
 def p3_commits(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,10 @@
+import json
 import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kithgraph.operators import forest, shred, skew
@@ -132,17 +135,94 @@ JSONS = [
 ]
 
 
-def test_json_triples(spark, rows):
+def test_json_records(spark, rows):
     df = spark.createDataFrame([(k, t, "clash") for k, t in JSONS], "line long, payload string, value string")
-    triples = shred.json_triples(df, "line", "payload", ("", "[]", "page.commits[]"), ["repo.id", "sha", "parents[].sha", "n", "f"], {"repo.id": "repo.id"})
-    table = shred.pivot_records(triples, {"repo": "repo.id", "sha": "sha", "f": "f"}, {"parents": "parents[].sha"})
-    got = {(r["key"], r.record): (r.repo, (r.sha or "")[:5], r.f, [tuple(p) for p in r.parents]) for r in table.collect()}
+    records = shred.json_records(df, "line", "payload", ("", "[]", "page.commits[]"), ["repo.id", "sha", "parents[].sha", "n", "f"], {"repo.id": "repo.id"})
+    flat = shred.root_columns(records, {"repo": "repo.id", "sha": "sha", "f": "f"})
+    parents = {}
+    for r in shred.group_table(flat.withColumns({"k": F.col("key"), "r": F.col("record")}), ["k", "r"], "parents[]", {"p": "parents[].sha"}).collect():
+        parents.setdefault((r.k, r.r), []).append((r.ordinals[0], r.p))
+    got = {(r["key"], r.record): (r.repo, (r.sha or "")[:5], r.f, sorted(parents.get((r["key"], r.record), []))) for r in flat.collect()}
     assert got[1, 0] == ("1", "a", "true", [(0, "p"), (3, "q")])
     assert got[2, 0] == ("2", "b", None, []) and got[2, 1] == (None, "c", None, [])
     assert got[3, 1] == ("9", "d", None, [(0, "a")])
     assert got[10, 0] == ("4.0", "last", None, []) and got[11, 0][1] == "yyyyy"
     assert {k for k, _ in got} == {1, 2, 3, 10, 11}
-    assert shred.json_triples(df.limit(0), "line", "payload", ("",), ["sha"]).count() == 0
+    assert shred.json_records(df.limit(0), "line", "payload", ("",), ["sha"]).count() == 0
+
+
+def test_arrays_in_arrays(spark, rows):
+    text = '{"id":7,"files":[{"name":"x","hunks":[{"at":1,"lines":["a",null,"b"]},{"at":2,"lines":[]}]},null,{"name":"y","hunks":[{"lines":["c"]}]}]}'
+    paths = ["id", "files[].name", "files[].hunks[].at", "files[].hunks[].lines[]"]
+    df = spark.createDataFrame([(1, text), (2, "[" * 50_000 + "]" * 50_000), (3, '{"files":[' * 20_000)], "k long, t string")
+    raw = shred.root_columns(shred.json_records(df, "k", "t", ("",), paths), {"id": "id"})
+    typed = df.where("k = 1").select("k", F.from_json("t", "id long, files array<struct<name:string,hunks:array<struct<at:int,lines:array<string>>>>>").alias("d")).select("k", "d.*")
+    typed = shred.root_columns(shred.typed_records(typed, F.col("k"), paths), {"id": "id"})
+    for records in (raw, typed):
+        of = lambda group, **columns: [(r[0], list(r[1]), *r[2:]) for r in sorted(map(tuple, shred.group_table(records, ["id"], group, columns).collect()), key=str)]
+        assert of("files[]", name="files[].name") == [("7", [0], "x"), ("7", [2], "y")]
+        assert of("files[].hunks[]", at="files[].hunks[].at") == [("7", [0, 0], "1"), ("7", [0, 1], "2")]
+        assert of("files[].hunks[].lines[]", line="files[].hunks[].lines[]") == [("7", [0, 0, 0], "a"), ("7", [0, 0, 2], "b"), ("7", [2, 0, 0], "c")]
+    pairs = shred.json_records(spark.createDataFrame([(1, '{"p":[{"a":1,"b":2},{"b":3},{}]}')], "k long, t string"), "k", "t", ("",), ["p[].a", "p[].b"])
+    assert rows(shred.group_table(pairs, ["key"], "p[]", {"a": "p[].a", "b": "p[].b"}), "ordinals", "a", "b") == [([0], "1", "2"), ([1], None, "3")]
+    assert rows(raw, "key") == [(1,)]
+
+
+NAMES = st.sampled_from(["a", "b", "c"])
+VALUES = st.recursive(st.none() | st.booleans() | st.integers(-5, 10**20) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=4), lambda v: st.lists(v, max_size=3) | st.dictionaries(NAMES, v, max_size=3), max_leaves=25)
+
+
+def leaves_of(node, steps, places=()):
+    for i, s in enumerate(steps):
+        if s == "[]":
+            for n, e in enumerate(node if isinstance(node, list) else ()):
+                yield from leaves_of(e, steps[i + 1 :], (*places, n))
+            return
+        if not isinstance(node, dict) or s not in node:
+            return
+        node = node[s]
+    if isinstance(node, bool):
+        yield places, "true" if node else "false"
+    elif isinstance(node, str | int | float):
+        yield places, node if isinstance(node, str) else repr(node)
+
+
+@settings(max_examples=300, deadline=None)
+@given(VALUES, st.sampled_from([None, 0, 2]), st.booleans(), st.integers(0, 60))
+def test_token_stream_by_the_whole_document(doc, indent, ascii_only, cut):
+    paths = ["a", "b.c", "a[]", "a[].b", "a[][].c", "b[].a[]"]
+    shredder = shred.Shredder(("", "[]", "c.a[]"), paths, {"b.a": "a"})
+    text = json.dumps(doc, indent=indent, ensure_ascii=ascii_only)
+    want = []
+    for steps in ((), ("[]",), ("c", "a", "[]")):
+        level = [doc]
+        for s in steps:
+            level = [e for x in level for e in (x if isinstance(x, list) else ())] if s == "[]" else [x[s] for x in level if isinstance(x, dict) and s in x]
+        for r in level:
+            if isinstance(r, dict):
+                own = {(p, places): v for p in paths for places, v in leaves_of(r, shred._steps(p))}
+                if steps:
+                    own |= {("a", ()): v for _, v in leaves_of(doc, ("b", "a"))}
+                want.append(own)
+    assert shredder.records(text) == want
+    part = text[: len(text) - 1 - cut % max(1, len(text))]
+    try:
+        json.loads(part)
+    except ValueError:
+        assert shredder.records(part) == []
+
+
+@pytest.mark.parametrize("text", ["[1,]", "{,}", '{"a":1,}', '{"a"}', '{"a":}', "[1 2]", "[1}", "{]", '{"a":1]', "[01]", "[1.]", "nul", '["' + chr(92) + 'x"]', '{"a":1} x', '[tru e]', '{"a" "b"}', ":", ",", "]", '{1:2}', '["a' + chr(10) + '"]', "[NaN]", ""])
+def test_what_is_no_json(text):
+    assert shred.Shredder(("", "[]"), ["a"], {}).records(text) == []
+
+
+def test_repeated_names_in_a_record():
+    of = lambda text, paths: shred.Shredder(("", "p.c[]"), paths, {"r": "r"}).records(text)
+    assert of('{"a":[{"b":1},{"b":2}],"a":[{"b":3}]}', ["a[].b"]) == [{("a[].b", (0,)): "3"}]
+    assert of('{"a":[{"b":1}],"a":null}', ["a[].b"]) == [{}] and of('{"a":1,"a":{"x":2}}', ["a"]) == [{}]
+    assert of('{"p":{"c":[{"a":1}]},"p":{"c":[{"a":2},{"a":3,"a":4}]},"r":5,"r":[]}', ["a"]) == [{}, {("a", ()): "2"}, {("a", ()): "4"}]
+    assert shred.Shredder(("x[].y",), ["z[]"], {}).records('{"x":[{"y":{"z":[1]}},{"y":{"z":[2]},"y":{"z":[3,4]}}]}') == [{("z[]", (0,)): "1"}, {("z[]", (0,)): "3", ("z[]", (1,)): "4"}]
 
 
 def test_typed_children_and_groups(spark, rows):
