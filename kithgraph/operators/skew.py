@@ -61,6 +61,20 @@ def in_blocks(asked: DataFrame, key: str, of: Callable[[DataFrame], DataFrame],
     return reduce(DataFrame.unionAll, parts)
 
 
+#: Buckets of keys that are broadcast to leave out rows before a join.
+BUCKETS = 1 << 18
+
+
+def likely_in(df: DataFrame, keys: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` shares a hash bucket with one of ``keys`` (which has ``key``): all that a join with it needs, and few others where keys are few.
+
+    What is broadcast are the buckets, at most ``buckets`` numbers however many keys there are. Null keys are left out.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("__bucket")
+    some = keys.where(F.col(key).isNotNull()).select(bucket).distinct()
+    return df.where(F.col(key).isNotNull()).withColumn("__bucket", bucket).join(F.broadcast(some), "__bucket", "left_semi").drop("__bucket")
+
+
 def distinct_others(df: DataFrame, keys: Sequence[str], other: str, n: str = "n") -> DataFrame:
     """For each key, the number of distinct values of ``other``; rows with a null key or other are left out.
 

@@ -187,6 +187,15 @@ def leaves_of(node, steps, places=()):
         yield places, node if isinstance(node, str) else repr(node)
 
 
+def test_rows_that_a_join_needs(spark, rows):
+    df = spark.createDataFrame([(i % 50, f"t{i}") for i in range(200)] + [(None, "n")], "id long, t string")
+    keys = spark.createDataFrame([(3,), (3,), (7,), (99,), (None,)], "id long")
+    for buckets in (1, 8, 1 << 18):
+        some = skew.likely_in(df, keys, "id", buckets)
+        assert some.columns == ["id", "t"] and rows(some.join(keys.distinct(), "id")) == rows(df.join(keys.distinct(), "id"))
+    assert skew.likely_in(df, keys, "id").count() == 8 and skew.likely_in(df, keys.limit(0), "id").count() == 0
+
+
 @settings(max_examples=300, deadline=None)
 @given(VALUES, st.sampled_from([None, 0, 2]), st.booleans(), st.integers(0, 60))
 def test_token_stream_by_the_whole_document(doc, indent, ascii_only, cut):
