@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.operators.skew import likely_in
 from kithgraph.session import cut, tasks
 
 #: Encodings in which UTF-8 may have been read.
@@ -469,8 +470,8 @@ def garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def restored(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``garbled``'s texts as restored: ``key``, ``text``, ``n_spans``, and ``whole``: whether every damaged token could be restored."""
-    found = garbled(docs, key, text).select(F.col(key).alias("__key"), "spans")
-    both = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(found, "__key")
+    found = cut(garbled(docs, key, text).select(F.col(key).alias("__key"), "spans"))
+    both = likely_in(docs.select(F.col(key).alias("__key"), F.col(text).alias("text")), found, "__key").join(found, "__key")
     pattern = re.compile(PYTHON_TOKEN)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
