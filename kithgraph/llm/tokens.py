@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kithgraph.session import cut
 
@@ -103,17 +104,46 @@ def _packed(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[pa.R
             first = last
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> pa.Array:
+    """Bytes of each token by its id; the last entry is empty and stands for ids that aren't in the vocabulary."""
+    table = ranks(path)
+    rows = [b""] * (max(table.values(), default=-1) + 2)
+    for token, rank in table.items():
+        rows[rank] = token
+    return pa.array(rows, pa.large_binary())
+
+
+def texts_of(ids: pa.Array, table: pa.Array) -> pa.Array:
+    """The text of each list of ids; null for null. Bytes are put together before they are read as UTF-8, since a character may be spread over tokens; what is no UTF-8 becomes replacement marks."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    last = len(table) - 1
+    taken = table.take(pa.array(np.where((flat >= 0) & (flat < last), flat, last)))
+    ends = taken.cast(pa.large_binary()).buffers()[1]
+    ends = np.frombuffer(ends, np.int64)[taken.offset : taken.offset + len(taken) + 1]
+    whole = np.ascontiguousarray(ends[np.concatenate([[0], np.cumsum(sizes)])])
+    texts = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(whole), taken.buffers()[2]])
+    try:
+        texts = texts.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+    return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), texts)
+
+
 def decode(encoded: DataFrame, ids: str, out: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``encoded`` with ``out``: the text of each list of ids. An empty list gives '', null gives null; ids that aren't in the vocabulary give nothing.
+    """``encoded`` with ``out``: the text of each list of ids. An empty list gives '', null gives null; ids that aren't in the vocabulary (null ones too) give nothing.
 
-    The table of token bytes has a fixed number of rows and is broadcast as one row; bytes are put together before they are
-    read as UTF-8, since a character may be spread over tokens. No shuffle.
+    The table of token bytes has a fixed number of rows; each worker has it and joins a batch's ids to it at once. No shuffle.
     """
-    table = ranks(str(Path(tokenizers) / vocabulary))
-    hexes = [""] * (max(table.values(), default=-1) + 1)
-    for token, rank in table.items():
-        hexes[rank] = token.hex()
-    row = encoded.sparkSession.createDataFrame([(hexes,)], "__bytes array<string>")
-    joined = encoded.crossJoin(F.broadcast(row))
-    whole = F.array_join(F.transform(F.col(ids), lambda i: F.get(F.col("__bytes"), i)), "")
-    return joined.withColumn(out, F.decode(F.unhex(whole), "UTF-8")).drop("__bytes")
+    path = str(Path(tokenizers) / vocabulary)
+    rest = [c for c in encoded.columns if c != out or c == ids]
+    schema = T.StructType([encoded.schema[c] for c in rest if c != out] + [T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = texts_of(b.column(ids), _token_bytes(path))
+            names = [c for c in b.schema.names if c != out]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), texts], [*names, out])
+
+    return encoded.select(*rest).mapInArrow(run, schema)

@@ -140,6 +140,14 @@ def test_odd_texts_as_the_library_and_back(spark):
     assert [back[i] for i in range(len(ODD))] == ODD
 
 
+def test_odd_ids(spark):
+    df = spark.createDataFrame([(1, [-1, 10**6, None], "a"), (2, None, "b"), (3, [], "c"), (4, [220, 10**6, 220], "d")], "id long, ids array<int>, text string")
+    assert {r.id: r.text for r in tokens.decode(df, "ids").collect()} == {1: "", 2: None, 3: "", 4: "  "}
+    half = [i for t, i in tokens.ranks("/opt/tokenizers/byte_bpe_50k.tiktoken").items() if t == b"\xc3"]
+    broken = spark.createDataFrame([(half, "x"), ([220], "y")], "ids array<int>, k string")
+    assert {r.k: r.text for r in tokens.decode(broken, "ids").collect()} == {"x": "\ufffd", "y": " "} and tokens.decode(df.limit(0), "ids").count() == 0
+
+
 def test_nothing_to_encode(spark):
     assert encoded(spark, ["x"]).where("id > 5").count() == 0
     assert [r.ids for r in encoded(spark, [None, ""]).collect()] == [[], []]
